@@ -25,14 +25,15 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return bands.join(many, "key")
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """rows: of shared_buckets(), written. verify: candidate (a, b) -> those that hold. Returns (verified edges, components).
 
     Small buckets give all pairs. In a larger bucket every member is paired with the bucket's hub (the member whose
-    buckets are fullest), with the hub of the members that also share its fullest other bucket, and with the bucket's
-    least member: three rows a member instead of n/2. Then follow closing rounds: wherever a large bucket still holds
-    several components, every member is paired with the hubs of the bucket's largest other components; the rounds
-    end as soon as one adds no link. A link between two members whose components are already one is not needed.
+    buckets are fullest) and with the hub of the members that also share its fullest other bucket: two rows a member
+    instead of n/2. Then follow closing rounds: wherever a large bucket still holds several components, every member is
+    paired with a head of each of the bucket's two largest components that it is not in, another head each round; the
+    rounds end as soon as one adds no link. A link between two members of one component is not needed. A closing round
+    unites the components it links by running on their roots alone.
     """
     small = rows.where(F.col("n") <= SMALL)
     pairs = _pairs(small.alias("x").join(small.select("key", F.col("node").alias("other")).alias("y"), "key").where("node < other"), "node", "other")
@@ -41,23 +42,21 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: in
     if has_big:
         weight = big.groupBy("node").agg(F.sum("n").alias("c"), F.max(F.struct("n", "key")).alias("top"))
         big = cut(big.join(weight, "node").select("node", "key", "c", F.col("top.key").alias("top")))
-        hubs = big.groupBy("key").agg(F.max_by("node", F.struct("c", "node")).alias("hub"), F.min("node").alias("low"))
-        subs = big.groupBy("key", "top").agg(F.max_by("node", F.struct("c", "node")).alias("sub"), F.min("node").alias("sublow"))
-        star = big.join(hubs, "key").join(subs, ["key", "top"]).select(
-            "node", F.explode(F.array_distinct(F.array("hub", "low", "sub", "sublow"))).alias("other"))
+        hubs = big.groupBy("key").agg(F.max(F.struct("c", "node")).alias("hub"))
+        subs = big.groupBy("key", "top").agg(F.max(F.struct("c", "node")).alias("sub"))
+        star = big.join(hubs, "key").join(subs, ["key", "top"]).select("node", F.explode(F.array_distinct(F.array("hub.node", "sub.node"))).alias("other"))
         pairs = pairs.union(_pairs(star, "node", "other"))
     tried = cut(pairs.distinct())
     edges = cut(verify(tried))
     roots = components(edges)
-    for _ in range(rounds if has_big else 0):
-        at = big.join(roots, "node", "left").select("node", "key", "c", F.coalesce("root", "node").alias("root"))
-        heads = at.groupBy("key", "root").agg(F.max_by("node", F.struct("c", "node")).alias("head"), F.count(F.lit(1)).alias("m"))
-        tops = _top_heads(heads)
+    for turn in range(rounds if has_big else 0):
+        at = big.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+        heads = at.groupBy("key", "root").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node")).getField("node").alias("head"), F.count(F.lit(1)).alias("m"))
+        first = heads.groupBy("key").agg(F.max(F.struct("m", "root", "head")).alias("one"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        second = heads.join(first, "key").where("root <> one.root").groupBy("key").agg(F.first("one").alias("one"), F.max(F.struct("m", "root", "head")).alias("two"))
         more = (
-            at.join(tops, "key")
-            .select("node", "root", F.explode("tops").alias("t"))
-            .where("root <> t.root")
-            .select("node", F.col("t.head").alias("other"))
+            at.join(second, "key").select("node", "root", F.explode(F.array("one", "two")).alias("t"))
+            .where("root <> t.root").select("node", F.col("t.head").alias("other"))
         )
         fresh = cut(_pairs(more, "node", "other").distinct().join(tried, ["a", "b"], "left_anti"))
         found = cut(verify(fresh))
@@ -65,14 +64,15 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: in
             break
         tried = cut(tried.union(fresh))
         edges = cut(edges.union(found))
-        roots = components(edges)
+        roots = _united(roots, found)
     return edges, roots
 
 
-def _top_heads(heads: DataFrame) -> DataFrame:
-    """For each bucket with several components, the head of the largest component of each of SMALL salts (by hash of
-    the component), so that what is collected for a bucket is bounded and nothing is collected whole."""
-    several = heads.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
-    salted = heads.join(several, "key").withColumn("salt", F.pmod(F.xxhash64("root"), F.lit(SMALL)))
-    best = salted.groupBy("key", "salt").agg(F.max(F.struct("m", "head", "root")).alias("t"))
-    return best.groupBy("key").agg(F.collect_list("t").alias("tops"))
+def _united(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots with the components united that found links; both may name nodes the other does not."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    between = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(between).withColumnRenamed("node", "old").withColumnRenamed("root", "new")
+    kept = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    single = moved.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return cut(kept.union(single))

@@ -27,8 +27,8 @@ from tessera.llm.lsh import linked, shared_buckets
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS, ROWS = 8, 4
-BINS = BANDS * ROWS
+BANDS, ROWS = 10, 4
+BINS = 64  # a power of two: the bin is the top bits of the hash; the first BANDS * ROWS bins are used
 #: Bits of the table that marks which lines the verification needs: 4 MB, whatever the corpus. Where it is crowded,
 #: more lines pass than needed and the join drops them.
 MARKS = 1 << 25
@@ -36,6 +36,7 @@ SEEN = 200_000
 PIECE = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4)}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +57,13 @@ def line_hash(line: str) -> int:
 
 
 def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of width codes. Runs of SHINGLE are put together from runs of half the length."""
+    if width == SHINGLE:
+        h, size = codes.astype(np.uint64), 1
+        while size < SHINGLE:
+            h = h[:-size] * _POWERS[size] + h[size:]
+            size *= 2
+        return _mix(h * _P)
     n = len(codes) - width + 1
     h = codes[:n].astype(np.uint64)
     for k in range(1, width):
@@ -72,7 +80,7 @@ def signatures(lines: list[str]) -> np.ndarray:
         h = shingle_hashes(codes, width)
         own = owner[: len(h)] == owner[width - 1 :]  # inside one line
         h, at = h[own], owner[: len(own)][own]
-        np.minimum.at(flat, at * BINS + ((h >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), h)
+        np.minimum.at(flat, at * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), h)
 
     long = [k for k, x in enumerate(lines) if len(x) >= SHINGLE]
     sizes = [len(lines[k]) for k in long]
@@ -96,7 +104,7 @@ def signatures(lines: list[str]) -> np.ndarray:
             fill = np.where(open_ & (other != _EMPTY), _mix(other + np.uint64(t + 1)), fill)
         full[hollow] = fill
     key = np.zeros((len(lines), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    rows = full.reshape(len(lines), BANDS, ROWS)
+    rows = full[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
     for k in range(ROWS):
         key = _mix(key * _P + rows[:, :, k])
     return key.view(np.int64)

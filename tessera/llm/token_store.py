@@ -30,7 +30,8 @@ from tessera.llm.common import cut, fresh_path, whole
 MAGIC = b"TSRX\x01\x00\x00\x00"
 NULL_KEY = -(1 << 63)
 BUCKET_KEYS = 4
-CACHE = 400_000
+#: Documents encoded together.
+GROUP = 64
 END_ID = 2
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,11 +141,17 @@ class Index:
 
 
 class Encoder:
-    """The tokenizer, with the ids of blank-free pieces remembered. White space separates what the tokenizer encodes
-    (its normaliser turns it into blanks, its splitter drops them), so pieces cut at a blank or line feed encode as they
-    do in the whole text; `remember=False`, for tokenizers without that property, encodes whole texts."""
+    """The tokenizer, with the ids of pieces remembered.
 
-    _kept: dict[tuple, dict[str, bytes]] = {}
+    White space separates what the tokenizer encodes (its normaliser turns it into blanks, its splitter drops them), so
+    pieces cut at a blank or line feed encode as they do in the whole text. A piece of letters and then ASCII marks is
+    split between the two by the splitter as well, so its letters are remembered on their own, whatever follows them.
+    What is not remembered yet is encoded together, blanks between, and told apart by the offsets. `remember=False`, for
+    tokenizers without these properties, encodes whole texts. Both memories are bounded and last for the worker."""
+
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may join what follows
+    PIECES, CORES = 400_000, 600_000
+    _kept: dict[tuple, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
     def __init__(self, path: str, end_id: int, remember: bool) -> None:
         import os
@@ -156,21 +163,50 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
         self.remember = remember
-        self.kept = self._kept.setdefault((path, self.width), {})  # for the tasks that follow in this worker
+        self.pieces, self.cores = self._kept.setdefault((path, self.width), ({"": b""}, {"": b""}))
+
+    def _encode(self, texts: list[str]) -> dict[str, bytes]:
+        """Distinct texts without blanks -> ids."""
+        if not texts:
+            return {}
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(e.ids, f"<u{self.width}").tobytes()
+        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        cuts = (np.searchsorted(at, ends) * self.width).tolist()
+        return {t: ids[a:b] for t, a, b in zip(texts, [0, *cuts], cuts, strict=False)}
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        split, odd = {}, []
+        for piece in new:
+            core = piece.rstrip(self.MARKS)
+            if core.isalpha() or not core:
+                split[piece] = (core.lower() if core.isascii() else core), piece[len(core) :]
+            else:
+                odd.append(piece)
+        wanted = {x for pair in split.values() for x in pair} - self.cores.keys()
+        got = self._encode(sorted(wanted))
+        if len(self.cores) + len(got) <= self.CORES:
+            self.cores.update(got)
+            find = self.cores.__getitem__
+        else:
+            find = lambda x: got[x] if x in got else self.cores[x]
+        out = self._encode(odd)
+        for piece, (core, tail) in split.items():
+            out[piece] = find(core) + find(tail)
+        return out
 
-    def encode(self, text: str) -> bytes:
-        kind = f"<u{self.width}"
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.remember:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes() + self.end
-        pieces, kept = text.replace("\n", " ").split(" "), self.kept
-        new = [p for p in set(pieces) if p not in kept]
-        if new:
-            if len(kept) + len(new) > CACHE:
-                kept.clear()
-                new = list(set(pieces))
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                kept[piece] = np.array(e.ids, kind).tobytes()
-        return b"".join(map(kept.__getitem__, pieces)) + self.end
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes() + self.end for t in texts]
+        cut_up = [t.replace("\n", " ").split(" ") for t in texts]
+        kept = self.pieces
+        new = {p for c in cut_up for p in c if p not in kept}
+        got = self._learn(new)
+        if len(kept) + len(got) <= self.PIECES:
+            kept.update(got)
+            return [b"".join(map(kept.__getitem__, c)) + self.end for c in cut_up]
+        return [b"".join([got[p] if p in got else kept[p] for p in c]) + self.end for c in cut_up]
 
 
 def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, remember: bool = True) -> DataFrame:
@@ -186,16 +222,17 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, reme
         encoder, keys, offsets, at = None, [], [0], 0
         name, out = f"shard-{uuid.uuid4().hex}", None
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for lo in range(0, batch.num_rows, GROUP):
                 if out is None:
                     encoder = Encoder(tokenizer, end_id, remember)
                     files.create_dir(base, recursive=True)
                     out = files.open_output_stream(f"{base}/{name}.ids")
-                ids = encoder.encode(text.as_py())
-                out.write(ids)
-                at += len(ids) // encoder.width
-                keys.append(NULL_KEY if key is None else key)
-                offsets.append(at)
+                part = batch.slice(lo, GROUP)
+                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                    out.write(ids)
+                    at += len(ids) // encoder.width
+                    keys.append(NULL_KEY if key is None else key)
+                    offsets.append(at)
         if out is not None:
             out.close()
             with files.open_output_stream(f"{base}/{name}.idx") as f:

@@ -177,36 +177,41 @@ class Encoder:
         return {t: ids[a:b] for t, a, b in zip(texts, [0, *cuts], cuts, strict=False)}
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        split, odd = {}, []
+        out, late, odd, cores, marks = {}, [], [], self.cores, self.MARKS
         for piece in new:
-            core = piece.rstrip(self.MARKS)
-            if core.isalpha() or not core:
-                split[piece] = (core.lower() if core.isascii() else core), piece[len(core) :]
-            else:
+            core = piece.rstrip(marks)
+            if core and not core.isalpha():
                 odd.append(piece)
-        wanted = {x for pair in split.values() for x in pair} - self.cores.keys()
-        got = self._encode(sorted(wanted))
-        if len(self.cores) + len(got) <= self.CORES:
-            self.cores.update(got)
-            find = self.cores.__getitem__
-        else:
-            find = lambda x: got[x] if x in got else self.cores[x]
-        out = self._encode(odd)
-        for piece, (core, tail) in split.items():
-            out[piece] = find(core) + find(tail)
+                continue
+            tail = piece[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            a, b = cores.get(core), cores.get(tail)
+            if a is None or b is None:
+                late.append((piece, core, tail))
+            else:
+                out[piece] = a + b
+        got = self._encode(list({x for _, *pair in late for x in pair if x not in cores}))
+        for piece, core, tail in late:
+            out[piece] = (got[core] if core in got else cores[core]) + (got[tail] if tail in got else cores[tail])
+        if len(cores) + len(got) <= self.CORES:
+            cores.update(got)
+        out.update(self._encode(odd))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.remember:
             return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes() + self.end for t in texts]
         cut_up = [t.replace("\n", " ").split(" ") for t in texts]
-        kept = self.pieces
-        new = {p for c in cut_up for p in c if p not in kept}
-        got = self._learn(new)
-        if len(kept) + len(got) <= self.PIECES:
-            kept.update(got)
-            return [b"".join(map(kept.__getitem__, c)) + self.end for c in cut_up]
-        return [b"".join([got[p] if p in got else kept[p] for p in c]) + self.end for c in cut_up]
+        ids = [list(map(self.pieces.get, c)) for c in cut_up]
+        gaps = [[k for k, x in enumerate(own) if x is None] if None in own else () for own in ids]
+        got = self._learn({c[k] for c, own in zip(cut_up, gaps, strict=True) for k in own})
+        for c, own, gap in zip(cut_up, ids, gaps, strict=True):
+            for k in gap:
+                own[k] = got[c[k]]
+        if len(self.pieces) + len(got) <= self.PIECES:
+            self.pieces.update(got)
+        return [b"".join(own) + self.end for own in ids]
 
 
 def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, remember: bool = True) -> DataFrame:

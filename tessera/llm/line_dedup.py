@@ -34,8 +34,9 @@ BINS = 64  # a power of two: the bin is the top bits of the hash; the first BAND
 MARKS = 1 << 25
 SEEN = 200_000
 PIECE = 1 << 19
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_EMPTY = np.uint64(0xFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_POWERS32 = {k: np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in (1, 2, 4)}
 _POWERS = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4)}
 
 
@@ -44,9 +45,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _short_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """32-bit hashes of the runs, for signatures only: 32-bit products run in vector units, 64-bit ones do not."""
+    h = codes
+    if width == SHINGLE:
+        size = 1
+        while size < SHINGLE:
+            h = h[:-size] * _POWERS32[size] + h[size:]
+            size *= 2
+    else:
+        n = len(codes) - width + 1
+        h = codes[:n]
+        for k in range(1, width):
+            h = h * _POWERS32[1] + codes[k : n + k]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
 def _probes() -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(3))
-    return np.stack([rng.permutation(BINS) for _ in range(4 * BINS)])
+    return np.stack([rng.permutation(BINS) for _ in range(8 * BINS)])
+
+
+PROBES = _probes()
 
 
 def line_hash(line: str) -> int:
@@ -73,14 +95,14 @@ def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
 
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys of each line (len >= 1), shape (lines, BANDS)."""
-    out = np.full((len(lines), BINS), _EMPTY, np.uint64)
-    flat = out.ravel()
+    least = np.full((len(lines), BINS), _EMPTY, np.uint32)
+    flat = least.ravel()
 
     def add(codes: np.ndarray, owner: np.ndarray, width: int) -> None:
-        h = shingle_hashes(codes, width)
+        h = _short_hashes(codes, width)
         own = owner[: len(h)] == owner[width - 1 :]  # inside one line
         h, at = h[own], owner[: len(own)][own]
-        np.minimum.at(flat, at * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), h)
+        np.minimum.at(flat, at * BINS + (h >> np.uint32(32 - BINS.bit_length() + 1)), h)
 
     long = [k for k, x in enumerate(lines) if len(x) >= SHINGLE]
     sizes = [len(lines[k]) for k in long]
@@ -92,16 +114,20 @@ def signatures(lines: list[str]) -> np.ndarray:
     for k, x in enumerate(lines):
         if len(x) < SHINGLE:
             add(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), np.full(len(x), k), len(x))
+    out = least.astype(np.uint64)
     full = out.copy()
     hollow = np.flatnonzero((out == _EMPTY).any(axis=1))
     if len(hollow):
-        base, fill = out[hollow], full[hollow]
-        for t, probe in enumerate(_probes()):
-            open_ = fill == _EMPTY
-            if not open_.any():
+        base, fill, left = out[hollow], full[hollow], np.arange(len(hollow))
+        for t, probe in enumerate(PROBES):
+            row, bin_ = np.nonzero(fill[left] == _EMPTY)
+            if not len(row):
                 break
-            other = base[:, probe]
-            fill = np.where(open_ & (other != _EMPTY), _mix(other + np.uint64(t + 1)), fill)
+            row = left[row]
+            other = base[row, probe[bin_]]
+            hit = other != _EMPTY
+            fill[row[hit], bin_[hit]] = _mix(other[hit] + np.uint64(t + 1))
+            left = np.unique(row)
         full[hollow] = fill
     key = np.zeros((len(lines), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     rows = full[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)

@@ -38,11 +38,12 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def sized(docs: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
-    """Written rows (row, key, size, place, payload): what the plan needs of each document."""
+def sized(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """Written rows (row, id, source, key, size, place): what the plan needs of each document; and, if whole_rows, the
+    document itself as a struct."""
     size = F.regexp_count(whole(), F.lit(SPACE_WORD)).cast("long")
     return cut(docs.select(
-        F.monotonically_increasing_id().alias("_row"), *payload, F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+        F.monotonically_increasing_id().alias("_row"), *([F.struct(*docs.columns).alias("_doc")] if whole_rows else []), F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
         _source_key(F.col("source")).alias("_key"), size.alias("_size"), F.xxhash64(F.col("doc_id"), whole()).alias("_place"),
     ))
 
@@ -103,7 +104,7 @@ def taken_blocks(plan: DataFrame, seed: int = SEED) -> DataFrame:
     return at.select("shard", "slot", "_key", index.alias("index"))
 
 
-def _pieces(rows: DataFrame, plan: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+def _pieces(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with the blocks they touch: index, lo and hi (word positions in the document)."""
     n = rows.count()
     buckets = max(16, -(-n // BUCKET_ROWS))
@@ -118,14 +119,14 @@ def _pieces(rows: DataFrame, plan: DataFrame, payload: tuple[str, ...] = ()) ->
     pieces = placed.select(*placed.columns, F.explode_outer(touched).alias("index"))
     lo = F.greatest(F.lit(0), F.col("index") * F.col("block") - F.col("start"))
     hi = F.least(F.col("_size"), (F.col("index") + 1) * F.col("block") - F.col("start"))
-    return pieces.select("_row", *payload, "_id", "_key", "_size", "source_size", "target", "index", lo.alias("lo"), hi.alias("hi"))
+    return pieces.select("_row", "_id", "_key", "_size", "source_size", "target", "index", lo.alias("lo"), hi.alias("hi"))
 
 
-def _taken(docs: DataFrame, seed: int, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    rows = sized(docs, payload)
+def _taken(docs: DataFrame, seed: int, whole_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows = sized(docs, whole_rows)
     plan = targets(rows)
     times = taken_blocks(plan, seed).groupBy("_key", "index").agg(F.count(F.lit(1)).alias("times"))
-    return rows, _pieces(rows, plan).join(times, ["_key", "index"], "left")
+    return rows, _pieces(rows.drop("_doc"), plan).join(times, ["_key", "index"], "left")
 
 
 def report(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -142,19 +143,18 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with each text replaced by the words the mix takes of it: first what is taken at least once, then what is
     taken again. A text taken exactly once as a whole stays as it is; documents of which nothing is taken go. n_chars,
     if there, follows the text. Same columns."""
-    rows, pieces = _taken(docs, seed, payload=tuple(docs.columns))
+    rows, pieces = _taken(docs, seed, whole_rows=True)
     lists = pieces.where("times > 0").groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("_parts"), F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("_sum"),
         F.max("times").alias("_most"),
     )
-    joined = rows.join(lists, "_row").withColumn("_w", F.when((F.col("_sum") != F.col("_size")) | (F.col("_most") > 1), words(whole(), SPACE_WORD)))
+    own = F.col("_doc.text")
+    joined = rows.join(lists, "_row").withColumn("_w", F.when((F.col("_sum") != F.col("_size")) | (F.col("_most") > 1), words(whole(own), SPACE_WORD)))
 
     def part(p: Column) -> Column:
         return F.slice("_w", (p.lo + 1).cast("int"), (p.hi - p.lo).cast("int"))
 
     again = F.transform(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)), lambda e: F.flatten(F.transform(F.filter("_parts", lambda p: p.times >= e), part)))
-    text = F.when(F.col("_w").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(again), " "))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = joined.withColumn("_text", F.when(F.col("_w").isNull(), own).otherwise(F.array_join(F.flatten(again), " ")))
+    fresh = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return out.select(*[fresh.get(c, F.col("_doc").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

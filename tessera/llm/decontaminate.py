@@ -89,7 +89,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_sha
     """docs without the documents of which more than max_share of the words are hit. Same columns. Rows are matched by
     doc_id and text hash, so repeated ids do not mix."""
     key = F.xxhash64(whole(docs["text"]))
-    marked = hits(docs.withColumn("_key", key), items, width, payload=("_key",))
+    marked = hits(docs.select("doc_id", "text", key.alias("_key")), items, width, payload=("_key",))
     bad = marked.where(F.size("hit") > F.col("n_words") * max_share).select(F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key")).distinct()
     bad = cut(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")

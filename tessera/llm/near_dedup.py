@@ -242,5 +242,5 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     out = held.where("not stays").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
     kept = docs.join(out, docs["doc_id"].eqNullSafe(out["_gone_id"]) & (F.unhex(F.md5(whole(docs["text"]).cast("binary"))) == out["_gone_node"]), "left_anti")
     if held.where("stays and n > 1").limit(1).count():  # rows repeated with id and text: one of them stays
-        kept = kept.withColumn("_node", F.md5(whole().cast("binary"))).dropDuplicates(["doc_id", "_node"]).drop("_node")
+        kept = kept.withColumn("__tessera_node", F.md5(whole().cast("binary"))).dropDuplicates(["doc_id", "__tessera_node"]).drop("__tessera_node")
     return kept

@@ -28,7 +28,7 @@ from tessera.llm.quality_rules import rules, stats
 #: Documents of each posterior side in the training sample: the bound of what reaches the driver.
 SAMPLE = 2000
 SLOTS = 2048
-EPOCHS, RATE, DECAY = 300, 0.5, 1e-5
+EPOCHS, RATE, DECAY = 200, 0.5, 1e-5
 CACHE = 300_000
 
 
@@ -84,13 +84,13 @@ def features(text: str, slots: Slots) -> np.ndarray:
 
 def train(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on soft labels; full-batch Adam."""
-    theta, bias = np.zeros(x.shape[1], np.float32), 0.0
+    theta, bias, turned = np.zeros(x.shape[1], np.float32), 0.0, np.ascontiguousarray(x.T)
     m, v = np.zeros(x.shape[1] + 1, np.float64), np.zeros(x.shape[1] + 1, np.float64)
     w = w / max(w.sum(), 1e-9)
     for t in range(1, EPOCHS + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ theta + bias, -30, 30)))
-        d = (p - y) * w
-        g = np.append(x.T @ d + DECAY * theta, d.sum())
+        d = ((p - y) * w).astype(np.float32)
+        g = np.append(turned @ d + DECAY * theta, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta, bias = theta - step[:-1].astype(np.float32), bias - float(step[-1])

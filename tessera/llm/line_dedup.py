@@ -9,7 +9,7 @@ connected components of the links (distributed union-find) are classes. Of each
 
 Null text has no lines. A null doc_id sorts last, so its lines yield to others. Rows repeated with id and text repeat
 their lines: the first by row stays. An empty table gives an empty result. Columns other than doc_id and text are ignored.
-Candidates of a hot band are linked through hubs (lsh.linked), never as all pairs.
+Candidates of a hot band are linked through hubs, and what hubs leave is compared in blocks (lsh.linked), never as rows of all pairs.
 """
 
 from __future__ import annotations
@@ -218,8 +218,7 @@ def _verifier(texts: DataFrame, threshold: float):
         def shingles(node, text):
             node = node.as_py()
             if node not in kept:
-                codes = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
-                kept[node] = np.unique(shingle_hashes(codes, min(SHINGLE, len(codes))))
+                kept[node] = _line_shingles(text.as_py())
                 if len(kept) > 1000:
                     kept.popitem(last=False)
             return kept[node]
@@ -243,6 +242,47 @@ def _verifier(texts: DataFrame, threshold: float):
     return verify
 
 
+def _line_shingles(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.unique(shingle_hashes(codes, min(SHINGLE, len(codes))))
+
+
+def _sketcher(texts: DataFrame):
+    """nodes -> (node, sketch): the upper halves of all shingle hashes of the node's line."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [(_line_shingles(t.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "sketch"])
+
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, sketch binary")
+
+
+def _close(threshold: float, width: int = 2048):
+    """Lines whose shared shingles are enough, counted by matrix products over `width` shingles at a time. Equal halves
+    of different hashes can only raise a count, so no pair is missed."""
+
+    def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        (x, i), (y, j) = ((np.frombuffer(b"".join(s), np.uint32), np.repeat(np.arange(len(s)), [len(v) // 4 for v in s])) for s in (a, b))
+        both = np.zeros((len(a), len(b)), np.float32)
+        known = np.intersect1d(x, y)
+        for lo in range(0, len(known), width):
+            part = known[lo : lo + width]
+            sides = []
+            for v, owner, n in ((x, i, len(a)), (y, j, len(b))):
+                inside = (v >= part[0]) & (v <= part[-1])
+                at = np.minimum(np.searchsorted(part, v[inside]), len(part) - 1)
+                hit = part[at] == v[inside]
+                side = np.zeros((n, len(part)), np.float32)
+                np.add.at(side, (owner[inside][hit], at[hit]), 1)
+                sides.append(side)
+            both += sides[0] @ sides[1].T
+        na, nb = np.bincount(i, minlength=len(a)), np.bincount(j, minlength=len(b))
+        return both >= threshold * (na[:, None] + nb[None, :] - both) - 1e-3
+
+    return close
+
+
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(lines: row, doc_id, line, node; roots: node, root of the lines that have links)."""
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
@@ -251,7 +291,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     many = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     shared = cut(shared_buckets(cut(bands.join(many, "key").distinct())))
     texts = _needed(docs, shared.select("node").distinct())
-    _, roots = linked(shared, _verifier(texts, threshold))
+    _, roots = linked(shared, _verifier(texts, threshold), _sketcher(texts), _close(threshold))
     return lines.select("row", "doc_id", "line", "node"), roots
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from tessera.llm.graph import components
 
 #: Buckets up to this size give all their pairs (at most 28); larger ones are linked through hubs.
 SMALL = 8
+#: A block of the comparison of what the hubs leave: at most about so many nodes and so many bytes of sketches a side.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,15 +29,21 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return bands.join(many, "key")
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """rows: of shared_buckets(), written. verify: candidate (a, b) -> those that hold. Returns (verified edges, components).
+def linked(
+    rows: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame],
+    close: Callable[[list[bytes], list[bytes]], np.ndarray], rounds: int = 2,
+) -> tuple[DataFrame, DataFrame]:
+    """rows: of shared_buckets(), written. verify: candidate (a, b) -> those that hold. sketch: nodes -> (node, sketch).
+    close: two lists of sketches -> matrix of the pairs that may hold. Returns (verified edges, components).
 
     Small buckets give all pairs. In a larger bucket every member is paired with the bucket's hub (the member whose
     buckets are fullest) and with the hub of the members that also share its fullest other bucket: two rows a member
     instead of n/2. Then follow closing rounds: wherever a large bucket still holds several components, every member is
     paired with a head of each of the bucket's two largest components that it is not in, another head each round; the
-    rounds end as soon as one adds no link. A link between two members of one component is not needed. A closing round
-    unites the components it links by running on their roots alone.
+    rounds end as soon as one adds no link. What is left, the pairs of different components in a large bucket, is then
+    compared by sketches, block by block and without making rows of the pairs, and those that may hold are verified: no
+    pair that shares a bucket stays untried unless its ends are in one component by then, where a link adds nothing.
+    A round unites the components it links by running on their roots alone.
     """
     small = rows.where(F.col("n") <= SMALL)
     pairs = _pairs(small.alias("x").join(small.select("key", F.col("node").alias("other")).alias("y"), "key").where("node < other"), "node", "other")
@@ -65,9 +75,55 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: in
         tried = cut(tried.union(fresh))
         edges = cut(edges.union(found))
         roots = _united(roots, found)
+    if has_big:
+        fresh = cut(_left_over(big, roots, sketch, close).join(tried, ["a", "b"], "left_anti"))
+        found = cut(verify(fresh))
+        if found.limit(1).count():
+            edges = cut(edges.union(found))
+            roots = _united(roots, found)
     return edges, roots
 
 
+def _left_over(big: DataFrame, roots: DataFrame, sketch, close) -> DataFrame:
+    """Pairs (a, b) of different components in one large bucket whose sketches are close.
+
+    In a bucket the members outside its largest component are compared with all members. Both sides are dealt into
+    blocks by a hash, so a bucket of any size is spread over many tasks; only the pairs that are close leave a task.
+    """
+    at = big.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    parts = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    split = parts.groupBy("key").agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rest = cut(at.join(split, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor")))
+    drawn = cut(sketch(rest.select("node").distinct()))
+    sized = rest.join(drawn.select("node", F.length("sketch").alias("bytes")), "node")
+
+    def blocks(rows, size):
+        return F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_BYTES))
+
+    dealt = sized.groupBy("key").agg(
+        blocks(F.count(F.lit(1)), F.sum("bytes")).alias("wide"),
+        blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0))).alias("high"),
+    )
+    laid = rest.join(dealt, "key").select("*", F.xxhash64("node").alias("h"))
+    none = F.lit(0).cast("long")
+    asks = laid.where("minor").select("key", F.pmod("h", "high").alias("i"), F.explode(F.sequence(none, F.col("wide") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "root")
+    told = laid.select("key", F.explode(F.sequence(none, F.col("high") - 1)).alias("i"), F.pmod("h", "wide").alias("j"), F.lit(False).alias("asks"), "node", "root")
+    kind = big.schema["node"].dataType.simpleString()
+
+    def compare(block: pa.Table) -> pa.Table:
+        asks = block["asks"].to_numpy()
+        nodes, roots, drawn = (block[c].to_pylist() for c in ("node", "root", "sketch"))
+        index: dict = {}
+        root = np.array([index.setdefault(r, len(index)) for r in roots])
+        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        i, j = np.nonzero(close([drawn[k] for k in one], [drawn[k] for k in two]) & (root[one][:, None] != root[two][None, :]))
+        of = block.schema.field("node").type
+        return pa.table({"node": pa.array([nodes[k] for k in one[i]], of), "other": pa.array([nodes[k] for k in two[j]], of)})
+
+    pairs = asks.union(told).join(drawn, "node").groupBy("key", "i", "j").applyInArrow(compare, f"node {kind}, other {kind}")
+    return _pairs(pairs, "node", "other").distinct()
+
+
 def _united(roots: DataFrame, found: DataFrame) -> DataFrame:
     """roots with the components united that found links; both may name nodes the other does not."""
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")

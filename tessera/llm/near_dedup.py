@@ -30,6 +30,8 @@ from tessera.llm.lsh import linked, shared_buckets
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 15, 4
+#: Standard deviations below its mean at which the agreement of two sketches still passes: misses about 1 in 10^5.
+SLACK = 4.3
 #: Share of a weight that the inverse document frequency may add. Small, so that edits in a text with many copies
 #: (whose shared shingles are frequent) do not outweigh what the copies share.
 IDF_SHARE = 0.25
@@ -179,6 +181,32 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
     return texts.mapInArrow(sign, "node binary, keys array<long>")
 
 
+def _sketcher(texts: DataFrame, weights):
+    """nodes -> (node, sketch): the low byte of each sample of the node's text."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, w = Sampler(BANDS * ROWS), weights.value
+        for batch in batches:
+            drawn = [sampler.sample(h, w.of(h, c)).astype(np.uint8).tobytes() for h, c in (shingles(t.as_py()) for t in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "sketch"])
+
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node binary, sketch binary")
+
+
+def _close(threshold: float):
+    samples = BANDS * ROWS
+    least = int(threshold * samples - SLACK * (samples * threshold * (1 - threshold)) ** 0.5)
+
+    def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), samples) for s in (a, b))
+        same = np.zeros((len(x), len(y)), np.uint8)
+        for k in range(samples):
+            same += x[:, k, None] == y[None, :, k]
+        return same >= least
+
+    return close
+
+
 def _verifier(texts: DataFrame, weights, threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, kept = weights.value, OrderedDict()
@@ -221,7 +249,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     bands = cut(signatures(texts, weights).select("node", F.explode("keys").alias("key")).distinct())
     shared = cut(shared_buckets(bands))
     near = cut(texts.withColumn("node", node).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    _, roots = linked(shared, _verifier(near, weights, threshold))
+    _, roots = linked(shared, _verifier(near, weights, threshold), _sketcher(near, weights), _close(threshold))
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     named = cut(firsts.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
     sizes = named.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("keeper"))

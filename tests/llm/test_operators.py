@@ -249,3 +249,62 @@ def test_sharding(spark, odd, none, tmp_path):
     assert sorted(r.id for r in store.read().collect()) == list(range(600)) == sorted(r.id for r in store.read(before["version"]).collect())
     with pytest.raises(RuntimeError, match="committed already"):
         store.commit(after["version"], None, [])
+
+
+def _chain(size, step, n):
+    """n texts of `size` words; each replaces `step` words of the one before, so only near neighbours are alike."""
+    return [" ".join(f"c{k * step + j}" for j in range(size)) for k in range(n)]
+
+
+def test_links_of_large_buckets_are_whole(spark):
+    """Texts that share buckets but have no common hub: all links equal brute force."""
+    rng = np.random.default_rng(5)
+    texts = _chain(400, 12, 120)
+    for c in range(6):  # groups around one template: most pairs of two groups are below the threshold, some are above
+        base = [f"t{k}" for k in range(300)]
+        for k in rng.choice(300, 2 + c, replace=False):
+            base[int(k)] = f"g{c}x{k}"
+        for m in range(40):
+            own = list(base)
+            for k in rng.choice(300, int(rng.integers(0, 9)), replace=False):
+                own[int(k)] = f"m{c}y{m}z{k}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    w = near_dedup.corpus_weights(docs.select("text"))
+    sets = [near_dedup.shingles(t) for t in texts]
+    weights = [w.of(*s) for s in sets]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b]:
+                _, i, j = np.intersect1d(sets[a][0], sets[b][0], assume_unique=True, return_indices=True)
+                both = np.minimum(weights[a][i], weights[b][j]).sum()
+                if both >= 0.8 * (weights[a].sum() + weights[b].sum() - both) - 1e-6:
+                    x, y = sorted((root[a], root[b]))
+                    root = [x if r == y else r for r in root]
+    assert len(set(root)) > 1
+    assert {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(docs))} == dict(enumerate(root))
+
+
+def test_left_over_pairs_without_hubs(spark):
+    """Hubs that link nothing (every candidate of the stars is refused): the blocks alone find the links of a bucket."""
+    from tessera.llm import lsh
+    from pyspark.sql import functions as F
+
+    bucket = spark.range(1500).select(F.col("id").alias("node"), F.lit(1).alias("key").cast("long"), F.lit(1500).cast("long").alias("n"))
+    alike = lambda pairs: pairs.where("b - a = 750")
+    sketch = lambda nodes: nodes.select("node", (F.col("node") % 750).cast("string").cast("binary").alias("sketch"))
+    close = lambda a, b: np.array(a, object)[:, None] == np.array(b, object)[None, :]
+    edges, roots = lsh.linked(bucket, alike, sketch, close)
+    assert edges.count() == 750 and {(r.node, r.root) for r in roots.collect()} == {(k, k % 750) for k in range(1500)}
+
+
+def test_line_blocks_equal_exact_similarity():
+    rng = np.random.default_rng(2)
+    lines = ["".join(rng.choice(list("abcd "), int(rng.integers(1, 60)))) for _ in range(60)]
+    lines += [x[: int(rng.integers(1, len(x) + 1))] + "q" * int(rng.integers(0, 3)) for x in lines]
+    sets = [line_dedup._line_shingles(x) for x in lines]
+    drawn = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+    got = line_dedup._close(0.8, width=16)(drawn, drawn)
+    want = np.array([[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    assert (got == want).all()

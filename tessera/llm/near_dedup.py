@@ -30,8 +30,7 @@ from tessera.llm.lsh import linked, shared_buckets
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 15, 4
-#: Standard deviations below its mean at which the agreement of two sketches still passes: misses about 1 in 10^5.
-SLACK = 4.3
+_ENTRY = np.dtype([("h", np.uint32), ("w", np.float32)])
 #: Share of a weight that the inverse document frequency may add. Small, so that edits in a text with many copies
 #: (whose shared shingles are frequent) do not outweigh what the copies share.
 IDF_SHARE = 0.25
@@ -182,27 +181,45 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
 
 
 def _sketcher(texts: DataFrame, weights):
-    """nodes -> (node, sketch): the low byte of each sample of the node's text."""
+    """nodes -> (node, sketch): all shingles of the node's text, as the upper half of the hash and the root of the weight."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, w = Sampler(BANDS * ROWS), weights.value
+        w = weights.value
         for batch in batches:
-            drawn = [sampler.sample(h, w.of(h, c)).astype(np.uint8).tobytes() for h, c in (shingles(t.as_py()) for t in batch.column(1))]
+            drawn = []
+            for text in batch.column(1):
+                hashes, counts = shingles(text.as_py())
+                sketch = np.empty(len(hashes), _ENTRY)
+                sketch["h"], sketch["w"] = hashes >> np.uint64(32), np.sqrt(w.of(hashes, counts))
+                drawn.append(sketch.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "sketch"])
 
     return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node binary, sketch binary")
 
 
-def _close(threshold: float):
-    samples = BANDS * ROWS
-    least = int(threshold * samples - SLACK * (samples * threshold * (1 - threshold)) ** 0.5)
+def _close(threshold: float, width: int = 2048):
+    """Pairs whose similarity may reach the threshold. The root of a product of weights is at least the lesser of them,
+    so a matrix product bounds what two texts share from above and no pair is missed."""
 
     def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), samples) for s in (a, b))
-        same = np.zeros((len(x), len(y)), np.uint8)
-        for k in range(samples):
-            same += x[:, k, None] == y[None, :, k]
-        return same >= least
+        (x, i), (y, j) = ((np.frombuffer(b"".join(s), _ENTRY), np.repeat(np.arange(len(s)), [len(v) // _ENTRY.itemsize for v in s])) for s in (a, b))
+        both = np.zeros((len(a), len(b)), np.float32)
+        known = np.intersect1d(x["h"], y["h"])
+        for lo in range(0, len(known), width):
+            part = known[lo : lo + width]
+            sides = []
+            for v, owner, n in ((x, i, len(a)), (y, j, len(b))):
+                near = (v["h"] >= part[0]) & (v["h"] <= part[-1])
+                v, owner = v[near], owner[near]
+                at = np.searchsorted(part, v["h"])
+                hit = part[at] == v["h"]
+                side = np.zeros((n, len(part)), np.float32)
+                np.add.at(side, (owner[hit], at[hit]), v["w"][hit])
+                sides.append(side)
+            both += sides[0] @ sides[1].T
+        sa, sb = (np.bincount(k, v["w"].astype(float) ** 2, len(s)) for v, k, s in ((x, i, a), (y, j, b)))
+        total = sa[:, None] + sb[None, :]
+        return both >= threshold * (total - both) - 1e-4 * total
 
     return close
 

@@ -76,9 +76,14 @@ class Weights:
 
 class Sampler:
     """Improved consistent weighted sampling. The random (r, c, beta) of a shingle and a sample are read from a table
-    of TABLE triples at an index hashed from both, so equal shingles draw equal triples in every document."""
+    of TABLE triples at an index hashed from both, so equal shingles draw equal triples in every document.
+
+    A shingle found once weighs between 1 and 1 + IDF_SHARE. For such weights the table also holds a lower bound of
+    ln a, so that a sample needs one reading of each shingle; ln a itself is computed only where the bound does not
+    exceed the value of the shingle with the least bound. The outcome is that of computing every ln a."""
 
     TABLE = 1 << 16
+    FEW = 200  # fewer shingles are computed plainly, which is quicker for them
 
     def __init__(self, samples: int, seed: int = 7) -> None:
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -86,25 +91,50 @@ class Sampler:
         self.ln_c = np.log(rng.gamma(2, 1, self.TABLE)).astype(np.float32)
         self.beta = rng.random(self.TABLE, dtype=np.float32)
         self.keys = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.top = np.float32(np.log1p(IDF_SHARE) + 1e-4)
+        _, least = self._draw(np.arange(self.TABLE), np.full(self.TABLE, self.top))
+        self.least = least - np.float32(1e-4) * (1 + np.abs(least))  # room for rounding
+
+    def _draw(self, i: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(t, ln a) of table places i and weights."""
+        r, beta = self.r[i], self.beta[i]
+        t = np.floor(ln_w / r + beta)
+        return t, self.ln_c[i] - r * (t - beta) - r
+
+    def _at(self, h: np.ndarray) -> np.ndarray:
+        return ((h[None, :] * self.keys[:, None]) >> np.uint64(48)).view(np.int64)
+
+    def _plain(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t, ln_a = self._draw(self._at(h), ln_w[None, :])
+        k = ln_a.argmin(axis=1)
+        row = np.arange(len(k))
+        return ln_a[row, k], _mix(h[k] + _P * t[row, k].astype(np.int64).astype(np.uint64))
+
+    def _bounded(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = self._at(h)
+        bound = np.take(self.least, i, mode="clip")
+        row, k = np.arange(len(i)), bound.argmin(axis=1)
+        _, known = self._draw(i[row, k], ln_w[k])
+        row, k = np.divmod(np.flatnonzero(bound <= known[:, None]), bound.shape[1])
+        t, ln_a = self._draw(i[row, k], ln_w[k])
+        order = np.lexsort((k, ln_a, row))
+        first = order[np.searchsorted(row[order], np.arange(len(i)))]
+        return ln_a[first], _mix(h[k[first]] + _P * t[first].astype(np.int64).astype(np.uint64))
 
     def sample(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit value per sample: the hash of the sampled shingle and its quantised weight."""
+        ln = np.log(weights)
+        light = (ln <= self.top) & (len(ln) >= self.FEW)
         best = picked = None
-        for at in range(0, len(hashes), 2048):  # bounds the memory of very long texts
-            h, ln_w = hashes[at : at + 2048], np.log(weights[at : at + 2048])
-            i = ((h[None, :] * self.keys[:, None]) >> np.uint64(48)).astype(np.int32)
-            r, beta = self.r[i], self.beta[i]
-            t = np.floor(ln_w[None, :] / r + beta)
-            ln_a = self.ln_c[i] - r * (t - beta) - r
-            k = ln_a.argmin(axis=1)
-            row = np.arange(len(k))
-            low = ln_a[row, k]
-            value = _mix(h[k] + _P * t[row, k].astype(np.int64).astype(np.uint64))
-            if best is None:
-                best, picked = low, value
-            else:
-                less = low < best
-                best, picked = np.where(less, low, best), np.where(less, value, picked)
+        for find, of in ((self._bounded, light), (self._plain, ~light)):
+            h_all, ln_all = hashes[of], ln[of]
+            for at in range(0, len(h_all), 2048):  # bounds the memory of very long texts
+                low, value = find(h_all[at : at + 2048], ln_all[at : at + 2048])
+                if best is None:
+                    best, picked = low, value
+                else:
+                    less = (low < best) | ((low == best) & (value < picked))
+                    best, picked = np.where(less, low, best), np.where(less, value, picked)
         return picked
 
 

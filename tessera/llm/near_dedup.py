@@ -104,13 +104,14 @@ class Sampler:
     def _at(self, h: np.ndarray) -> np.ndarray:
         return ((h[None, :] * self.keys[:, None]) >> np.uint64(48)).view(np.int64)
 
-    def _plain(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(least ln a, its shingle, value) of each sample; of equal ones that of the least shingle."""
         t, ln_a = self._draw(self._at(h), ln_w[None, :])
         k = ln_a.argmin(axis=1)
         row = np.arange(len(k))
-        return ln_a[row, k], _mix(h[k] + _P * t[row, k].astype(np.int64).astype(np.uint64))
+        return ln_a[row, k], h[k], _mix(h[k] + _P * t[row, k].astype(np.int64).astype(np.uint64))
 
-    def _bounded(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _bounded(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i = self._at(h)
         bound = np.take(self.least, i, mode="clip")
         row, k = np.arange(len(i)), bound.argmin(axis=1)
@@ -119,23 +120,22 @@ class Sampler:
         t, ln_a = self._draw(i[row, k], ln_w[k])
         order = np.lexsort((k, ln_a, row))
         first = order[np.searchsorted(row[order], np.arange(len(i)))]
-        return ln_a[first], _mix(h[k[first]] + _P * t[first].astype(np.int64).astype(np.uint64))
+        return ln_a[first], h[k[first]], _mix(h[k[first]] + _P * t[first].astype(np.int64).astype(np.uint64))
 
     def sample(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit value per sample: the hash of the sampled shingle and its quantised weight."""
         ln = np.log(weights)
         light = (ln <= self.top) & (len(ln) >= self.FEW)
-        best = picked = None
+        best = None
         for find, of in ((self._bounded, light), (self._plain, ~light)):
             h_all, ln_all = hashes[of], ln[of]
             for at in range(0, len(h_all), 2048):  # bounds the memory of very long texts
-                low, value = find(h_all[at : at + 2048], ln_all[at : at + 2048])
-                if best is None:
-                    best, picked = low, value
-                else:
-                    less = (low < best) | ((low == best) & (value < picked))
-                    best, picked = np.where(less, low, best), np.where(less, value, picked)
-        return picked
+                got = find(h_all[at : at + 2048], ln_all[at : at + 2048])
+                if best is not None:
+                    less = (got[0] < best[0]) | ((got[0] == best[0]) & (got[1] < best[1]))
+                    got = tuple(np.where(less, x, y) for x, y in zip(got, best, strict=True))
+                best = got
+        return best[2]
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, whole
 from tessera.llm.lsh import linked, shared_buckets
 
-SHINGLE = 8
+SHINGLE = 4
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 BINS = 64  # a power of two: the bin is the top bits of the hash; the first BANDS * ROWS bins are used

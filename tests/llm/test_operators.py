@@ -319,3 +319,31 @@ def test_op1_bounded_sampling_equals_plain():
         weights = ((1 + near_dedup.IDF_SHARE * rng.random(len(hashes))) * counts).astype(np.float32)
         _, _, value = sampler._plain(hashes, np.log(weights))
         assert (sampler.sample(hashes, weights) == value).all()
+
+
+def test_op3_short_edits_in_ordinary_lines(spark):
+    """One letter or one word changed in lines of 40 to 120 characters: what brute force drops is dropped. The banding
+    finds a pair at similarity 0.8 with a chance of 0.995, so a line or two of the 82 may stay; no other line is dropped."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    lines = []
+    for n in range(40, 121, 2):
+        w = [word(int(rng.integers(2, 8))) for _ in range(n // 4)]
+        line = " ".join(w)[:n].strip()
+        at = len(line) // 2
+        lines += [line, line[:at] + "#" + line[at + 1 :]]
+        own = line.split()
+        own[len(own) // 2] = word(len(own[len(own) // 2])).upper()
+        lines.append(" ".join(own))
+    sets = [{x[k : k + 4] for k in range(len(x) - 3)} for x in lines]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    want = {k: root[k] != k for k in range(len(lines))}
+    assert all(want[k] for k in range(1, len(lines), 3)) and sum(want[k] for k in range(2, len(lines), 3)) >= 20
+    got = rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
+    of = {r["doc_id"]: r["n_dropped"] == 1 for r in got}
+    assert not [k for k in of if of[k] and not want[k]] and sum(want[k] and not of[k] for k in of) <= 2

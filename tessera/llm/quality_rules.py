@@ -22,34 +22,35 @@ MIN_WORDS = 50
 
 
 def _repeated(w: Column, n: Column) -> Column:
-    """Words of w inside three-word windows that occur twice or more. The hash of each window is packed with its
-    position into one long and the longs are sorted, so equal windows become neighbours: n log n, no per-word rows."""
-    empty = F.expr("array()").cast("array<bigint>")
-    low = (1 << 24) - 1
-    packed = F.when(n >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))).otherwise(empty)
-    return packed
+    """The three-word windows of w as (two independent 64-bit hashes, position), sorted, so equal windows become
+    neighbours: n log n, no per-word rows, and no limit but that of an array."""
+    empty = F.expr("array()").cast("array<struct<h:bigint,g:bigint,i:int>>")
+
+    def window(i: Column) -> Column:
+        own = [F.get(w, i + k) for k in range(3)]
+        return F.struct(F.xxhash64(*own).alias("h"), F.xxhash64(F.lit(1), *own).alias("g"), i.alias("i"))
+
+    return F.when(n >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(empty)
 
 
 def stats(docs: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, payload and the counts that the rules use."""
-    low = (1 << 24) - 1
     text = F.col("_t")
     base = docs.select("doc_id", *payload, whole().alias("_t"))
     base = base.withColumn("_w", words(text, SPACE_WORD)).withColumn("_n", F.size("_w"))
-    base = base.withColumn("_packed", _repeated(F.col("_w"), F.col("_n")))
+    base = base.withColumn("_windows", _repeated(F.col("_w"), F.col("_n")))
     base = base.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(SPACE_WORD)))
-    w, p = F.col("_w"), F.col("_packed")
+    w, p = F.col("_w"), F.col("_windows")
 
     def same(a: Column, b: Column) -> Column:
         """Two neighbours: equal hashes, then equal words."""
-        x, y = a.bitwiseAND(F.lit(low)).cast("int"), b.bitwiseAND(F.lit(low)).cast("int")
-        equal = [F.get(w, x + k) == F.get(w, y + k) for k in range(3)]
-        return (F.shiftright(a, 24) == F.shiftright(b, 24)) & equal[0] & equal[1] & equal[2]
+        equal = [F.get(w, a.i + k) == F.get(w, b.i + k) for k in range(3)]
+        return (a.h == b.h) & (a.g == b.g) & equal[0] & equal[1] & equal[2]
 
     # A window repeats if it equals the one before or after it.
     hit = F.filter(p, lambda x, i: F.coalesce(same(x, F.get(p, i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(x, F.get(p, i - 1)), F.lit(False)))
     base = base.withColumn("_hit", hit)
-    covered = F.flatten(F.transform("_hit", lambda x: F.array(*[x.bitwiseAND(F.lit(low)) + k for k in range(3)])))
+    covered = F.flatten(F.transform("_hit", lambda x: F.array(*[x.i + k for k in range(3)])))
     kept = F.translate(text, SYMBOLS, "")
     return base.select(
         "doc_id", *payload,

@@ -347,3 +347,13 @@ def test_op3_short_edits_in_ordinary_lines(spark):
     got = rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
     of = {r["doc_id"]: r["n_dropped"] == 1 for r in got}
     assert not [k for k in of if of[k] and not want[k]] and sum(want[k] and not of[k] for k in of) <= 2
+
+
+def test_op8_windows_that_share_forty_hash_bits(spark):
+    """Two different windows whose hashes agree in 40 bits, by turns: each still counts as repeated."""
+    from pyspark.sql import functions as F
+
+    made = spark.range(4_000_000).select(F.shiftright(F.xxhash64(F.lit("a"), F.lit("b"), F.concat(F.lit("w"), "id")), 24).alias("h"), "id")
+    x, y = made.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids")).where("size(ids) > 1").orderBy("h").first().ids[:2]
+    text = " ".join(f"s{k} a b w{v} t{k}" for k, v in enumerate([x, y, x, y]))
+    assert rows(quality_rules.report(spark.createDataFrame([(1, text)], "doc_id long, text string")))[0]["n_repeat_words"] == 12

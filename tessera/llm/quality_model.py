@@ -105,7 +105,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float]:
     chance = cut(posteriors(voted, len(own)))  # at most 3 ** rules rows
     sides = {bool(r.good): r.n for r in chance.groupBy((F.col("posterior") >= 0.5).alias("good")).agg(F.sum("n").alias("n")).collect()}
     if len(sides) < 2:
-        return np.zeros(SLOTS, np.float32), 30.0 if sides.get(True, 1) else -30.0
+        return np.zeros(SLOTS, np.float32), -30.0 if sides and True not in sides else 30.0
     marked = voted.join(F.broadcast(chance.select("votes", "posterior")), "votes").select("_hash", "posterior").distinct()
     good = F.col("posterior") >= 0.5
     sample = marked.where(good).orderBy("_hash").limit(SAMPLE).union(marked.where(~good).orderBy("_hash").limit(SAMPLE))

@@ -357,3 +357,9 @@ def test_op8_windows_that_share_forty_hash_bits(spark):
     x, y = made.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids")).where("size(ids) > 1").orderBy("h").first().ids[:2]
     text = " ".join(f"s{k} a b w{v} t{k}" for k, v in enumerate([x, y, x, y]))
     assert rows(quality_rules.report(spark.createDataFrame([(1, text)], "doc_id long, text string")))[0]["n_repeat_words"] == 12
+
+
+def test_op2_bad_documents_only(spark):
+    texts = [(k, "\n".join(["WIN!!! $$$ ### NOW!!!"] * (40 + k))) for k in range(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r["kept"] for r in rows(quality_model.score(docs))] == [False] * 5 and rows(quality_model.keep(docs)) == []

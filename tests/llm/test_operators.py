@@ -363,3 +363,18 @@ def test_op2_bad_documents_only(spark):
     texts = [(k, "\n".join(["WIN!!! $$$ ### NOW!!!"] * (40 + k))) for k in range(5)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert [r["kept"] for r in rows(quality_model.score(docs))] == [False] * 5 and rows(quality_model.keep(docs)) == []
+
+
+def test_op2_trains_three_hundred_steps():
+    rng = np.random.default_rng(4)
+    x = rng.random((80, 6)).astype(np.float32)
+    y, w = (x[:, 0] + 0.3 * rng.random(80) > 0.6).astype(float), np.ones(80)
+    theta, m, v = np.zeros(7), np.zeros(7), np.zeros(7)
+    whole = np.hstack([x, np.ones((80, 1))]).astype(float)
+    for t in range(1, 301):
+        p = 1 / (1 + np.exp(-np.clip(whole @ theta, -30, 30)))
+        g = whole.T @ ((p - y) / 80) + quality_model.DECAY * np.append(theta[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - quality_model.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    got, bias = quality_model.train(x, y, w)
+    assert np.allclose(np.append(got, bias), theta, atol=0.01)

@@ -6,16 +6,15 @@ fits, else 32) and an index. The index holds, in row order, the document keys an
 hash of the shard's distinct keys: key -> bucket pilot -> slot -> (fingerprint, first row, rows). A lookup reads one
 pilot and one slot whatever the shard's size; the stored fingerprint rejects keys that are not there (up to 2 ** -32).
 The manifest (one row per shard) names the files of the tasks that succeeded; files of lost attempts have other names
-and are never read. read(): the shards are read back through their indexes.
+and are never read. read(): the shards are read back through their indexes. Store: keyed access to all shards.
 
-Null texts are empty: one end id. Null ids sort first and have the key NULL_KEY. Repeated ids are consecutive rows of
-one key (of one key per shard, where they span shards). An empty table writes no shard. Columns other than doc_id and
-text are ignored. doc_id must be an integer.
+Null texts are empty: one end id. Rows with null ids come first; the index counts them and has no key for them.
+Repeated ids are consecutive rows of one key (of one key per shard, where they span shards). An empty table writes no
+shard. Columns other than doc_id and text are ignored. doc_id must be an integer.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,8 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, fresh_path, whole
 
-MAGIC = b"TSRX\x01\x00\x00\x00"
-NULL_KEY = -(1 << 63)
+MAGIC = b"TSRX\x02\x00\x00\x00"
 BUCKET_KEYS = 4
 #: Documents encoded together.
 GROUP = 64
@@ -88,19 +86,22 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return _mix(keys.view(np.uint64), 5).astype(np.uint32)
 
 
+_ENTRY = np.dtype([("fingerprint", "<u4"), ("rows", "<u4"), ("first", "<u8")])
+HEAD = len(MAGIC) + 40
+
+
 def index_bytes(keys: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
-    """keys: of each row, equal keys side by side. offsets: of each row's first id, and of the end."""
+    """keys: of each row but the first ones, whose ids are null; equal keys side by side. offsets: of each row's first
+    id, and of the end."""
+    n_null = len(offsets) - 1 - len(keys)
     distinct, first, rows = np.unique(keys, return_index=True, return_counts=True)
     pilots, slot = build_hash(distinct)
-    entry = np.zeros(len(distinct), dtype=[("fingerprint", "<u4"), ("rows", "<u4"), ("first", "<u8")])
-    entry["fingerprint"][slot], entry["rows"][slot], entry["first"][slot] = fingerprints(distinct), rows, first
-    head = MAGIC + struct.pack("<QQQQ", width, len(keys), len(distinct), len(pilots))
+    entry = np.zeros(len(distinct), _ENTRY)
+    entry["fingerprint"][slot], entry["rows"][slot], entry["first"][slot] = fingerprints(distinct), rows, first + n_null
+    head = MAGIC + struct.pack("<QQQQQ", width, len(offsets) - 1, n_null, len(distinct), len(pilots))
     return head + pilots.astype("<i4").tobytes() + entry.tobytes() + offsets.astype("<u8").tobytes() + keys.astype("<i8").tobytes()
 
 
-HEAD = len(MAGIC) + 32
-
-
 class Index:
     """Random access to one shard through open, seekable files: a lookup reads the head once, then 4 bytes of pilot,
     16 of entry, 16 of offsets and the ids."""
@@ -110,7 +111,7 @@ class Index:
         head = self._at(0, HEAD)
         if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token index")
-        self.width, self.n_rows, self.n_keys, self.n_pilots = struct.unpack("<QQQQ", head[len(MAGIC) :])
+        self.width, self.n_rows, self.n_null, self.n_keys, self.n_pilots = struct.unpack("<QQQQQ", head[len(MAGIC) :])
         self.entries = HEAD + 4 * self.n_pilots
         self.offsets = self.entries + 16 * self.n_keys
 
@@ -120,6 +121,8 @@ class Index:
 
     def rows_of(self, key: int) -> tuple[int, int] | None:
         """(first row, rows) of a key, None if its fingerprint is not stored."""
+        if not self.n_keys:
+            return None
         k = np.array([key], np.int64)
         bucket = int(_mix(k.view(np.uint64), 1)[0] % np.uint64(self.n_pilots))
         pilot = np.frombuffer(self._at(HEAD + 4 * bucket, 4), "<i4")
@@ -140,12 +143,34 @@ class Index:
         return [self.ids(found[0] + k) for k in range(found[1])] if found else []
 
 
+class Store:
+    """Keyed access to all shards: the manifest's id ranges (16 bytes a shard) name the shard, its index the place."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        from pyarrow import fs
+
+        shards = spark.read.parquet(f"{root}/manifest").where("first_id IS NOT NULL").orderBy("part").select("name", "first_id", "last_id").toArrow()
+        self.names, self.first, self.last = shards["name"].to_pylist(), shards["first_id"].to_numpy(), shards["last_id"].to_numpy()
+        self.files, self.base = fs.FileSystem.from_uri(root)
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document of a key, in order; empty if there is none."""
+        out = []
+        for k in range(int(np.searchsorted(self.last, key, "left")), int(np.searchsorted(self.first, key, "right"))):
+            at = f"{self.base}/{self.names[k]}"
+            with self.files.open_input_file(f"{at}.idx") as index, self.files.open_input_file(f"{at}.ids") as payload:
+                out += Index(index, payload).get(key)
+        return out
+
+
 class Encoder:
     """The tokenizer, with the ids of pieces remembered.
 
     White space separates what the tokenizer encodes (its normaliser turns it into blanks, its splitter drops them), so
     pieces cut at a blank or line feed encode as they do in the whole text. A piece of letters and then ASCII marks is
-    split between the two by the splitter as well, so its letters are remembered on their own, whatever follows them.
+    split between the two by the splitter as well, so its letters are remembered on their own, whatever follows them;
+    but only where the tokenizer itself, asked about the last letter, cuts after it (some letters become a letter and a
+    mark that joins those behind). Other pieces are encoded whole.
     What is not remembered yet is encoded together, blanks between, and told apart by the offsets. `remember=False`, for
     tokenizers without these properties, encodes whole texts. Both memories are bounded and last for the worker."""
 
@@ -164,6 +189,16 @@ class Encoder:
         self.end = end_id.to_bytes(self.width, "little")
         self.remember = remember
         self.pieces, self.cores = self._kept.setdefault((path, self.width), ({"": b""}, {"": b""}))
+        self.cuts: dict[str, bool] = {}
+
+    def _cut_after(self, letter: str) -> bool:
+        """Whether the tokenizer splits between the letter, as it normalises it, and a mark behind it."""
+        got = self.cuts.get(letter)
+        if got is None:
+            normal = self.tokenizer.normalizer.normalize_str(letter)
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{normal}!")
+            got = self.cuts[letter] = [x[1] for x in parts] == [(0, 1 + len(normal)), (1 + len(normal), 2 + len(normal))]
+        return got
 
     def _encode(self, texts: list[str]) -> dict[str, bytes]:
         """Distinct texts without blanks -> ids."""
@@ -180,7 +215,7 @@ class Encoder:
         out, late, odd, cores, marks = {}, [], [], self.cores, self.MARKS
         for piece in new:
             core = piece.rstrip(marks)
-            if core and not core.isalpha():
+            if core and not (core.isalpha() and (core[-1].isascii() or self._cut_after(core[-1]))):
                 odd.append(piece)
                 continue
             tail = piece[len(core) :]
@@ -224,7 +259,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, reme
         from pyarrow import fs
 
         files, base = fs.FileSystem.from_uri(root)
-        encoder, keys, offsets, at = None, [], [0], 0
+        encoder, keys, offsets, at = None, [], [0], 0  # the rows with null ids come first
         name, out = f"shard-{uuid.uuid4().hex}", None
         for batch in batches:
             for lo in range(0, batch.num_rows, GROUP):
@@ -236,13 +271,14 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, reme
                 for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     out.write(ids)
                     at += len(ids) // encoder.width
-                    keys.append(NULL_KEY if key is None else key)
                     offsets.append(at)
+                    if key is not None:
+                        keys.append(key)
         if out is not None:
             out.close()
             with files.open_output_stream(f"{base}/{name}.idx") as f:
                 f.write(index_bytes(np.array(keys, np.int64), np.array(offsets, np.int64), encoder.width))
-            yield pa.RecordBatch.from_pydict({"name": [name], "width": [encoder.width], "first_id": pa.array([keys[0]], pa.int64()), "last_id": pa.array([keys[-1]], pa.int64()), "n_docs": [len(keys)], "n_tokens": [at], "part": pa.array([_partition()], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"name": [name], "width": [encoder.width], "first_id": pa.array(keys[:1] or [None], pa.int64()), "last_id": pa.array(keys[-1:] or [None], pa.int64()), "n_docs": [len(offsets) - 1], "n_tokens": [at], "part": pa.array([_partition()], pa.int32())})
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.xxhash64(whole()).alias("_tie"))
@@ -273,13 +309,13 @@ def read(spark: SparkSession, root: str) -> DataFrame:
             for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with files.open_input_file(f"{base}/{name}.idx") as f:
                     raw = f.read()
-                width, n, n_keys, n_pilots = struct.unpack("<QQQQ", raw[len(MAGIC) : HEAD])
+                width, n, n_null, n_keys, n_pilots = struct.unpack("<QQQQQ", raw[len(MAGIC) : HEAD])
                 pilots = np.frombuffer(raw, "<i4", n_pilots, HEAD)
-                entry = np.frombuffer(raw, [("fingerprint", "<u4"), ("rows", "<u4"), ("first", "<u8")], n_keys, HEAD + 4 * n_pilots)
+                entry = np.frombuffer(raw, _ENTRY, n_keys, HEAD + 4 * n_pilots)
                 offsets = np.frombuffer(raw, "<u8", n + 1, HEAD + 4 * n_pilots + 16 * n_keys).astype(np.int64)
-                keys = np.frombuffer(raw, "<i8", n, HEAD + 4 * n_pilots + 16 * n_keys + 8 * (n + 1))
-                got = entry[find_slots(keys, pilots, n_keys)]
-                row = np.arange(n)
+                keys = np.frombuffer(raw, "<i8", n - n_null, HEAD + 4 * n_pilots + 16 * n_keys + 8 * (n + 1))
+                got = entry[find_slots(keys, pilots, n_keys)] if n_keys else entry
+                row = np.arange(n_null, n)
                 if not ((got["fingerprint"] == fingerprints(keys)) & (got["first"] <= row) & (row < got["first"] + got["rows"])).all():
                     raise ValueError(f"{name}: the index does not hold its keys")
                 crcs = np.empty(n, np.int64)
@@ -287,10 +323,11 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                     for k in range(n):
                         size = int(offsets[k + 1] - offsets[k])
                         crcs[k] = zlib.crc32(np.frombuffer(f.read(size * width), f"<u{width}").astype("<u4").tobytes())
+                nulls, ids = np.arange(n) < n_null, np.concatenate([np.zeros(n_null, np.int64), keys])
                 for lo in range(0, n, 50_000):
                     hi = min(n, lo + 50_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[lo:hi], pa.int64(), mask=keys[lo:hi] == NULL_KEY), pa.array(start + offsets[lo:hi]), pa.array(offsets[lo + 1 : hi + 1] - offsets[lo:hi]), pa.array(crcs[lo:hi])],
+                        [pa.array(ids[lo:hi], pa.int64(), mask=nulls[lo:hi]), pa.array(start + offsets[lo:hi]), pa.array(offsets[lo + 1 : hi + 1] - offsets[lo:hi]), pa.array(crcs[lo:hi])],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
@@ -304,7 +341,3 @@ def store(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     write(docs, root, tokenizer, end_id)
     return read(docs.sparkSession, root)
 
-
-def describe(spark: SparkSession, root: str) -> str:
-    """The committed manifest as JSON lines."""
-    return "\n".join(json.dumps(r.asDict(), default=str) for r in spark.read.parquet(f"{root}/manifest").orderBy("part").toLocalIterator())

@@ -67,10 +67,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents")).select(
         "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "lang", "source", "n_chars",
+        (F.col("_bytes") <= sharding.TARGET_BYTES).alias("in_live_shard"),
     )
 
 
-OP10_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars FROM documents"
+#: Rows that did not come through a file of the last version, or came from one over the target size, would differ.
+OP10_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars, TRUE AS in_live_shard FROM documents"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

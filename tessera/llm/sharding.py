@@ -4,9 +4,10 @@ append() writes arrivals as small immutable shards and commits a version that ad
 that are under the target size into tiers by size (a tier spans a factor of FAN), packs shards of a tier into runs of
 at most the target size, merges each run of at least two shards into one new file by streaming its row groups (one task
 per run, no shuffle, memory of one batch), and commits the version with the merged files in place of their inputs.
-It repeats until no tier has a run. A version is one JSON file listing the live shards, written under another name and
-renamed onto its number; a rename onto a taken number fails, so of two writers one commits and the other must retry.
-Files that no version names (of lost or repeated attempts) are never read. Readers see one version whole.
+It repeats until no tier has a run. A version is a list of parts, JSON lines files of at most PART shards each; a commit
+writes only the parts that are new or changed, then the version file that names them, which is created only if its
+number is free: of two writers one commits and the other must retry. Files that no version names (of lost or repeated
+attempts) are never read. Readers see one version whole.
 
 Rows are kept as they are: nulls, empty and long texts, ties, repeated rows and extra columns go through unchanged. An
 empty table appends no shards and commits a version all the same.
@@ -19,6 +20,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from tessera.llm.common import fresh_path
 TARGET_BYTES = 32 << 20
 ARRIVAL_ROWS = 2000
 FAN = 4
+#: Shards that a part of the manifest lists at most.
+PART = 10_000
 
 
 class Store:
@@ -44,27 +48,52 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def manifest(self, version: int | None = None) -> dict:
-        have = self.versions()
-        if not have:
-            return {"version": -1, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(f"{self.root}/versions/{have[-1] if version is None else version:08d}.json"))
+    def _load(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def commit(self, version: int, schema: str | None, shards: list[dict]) -> int:
-        """Atomic: fails if the version is there already."""
+    def _save(self, path: str, text: str) -> bool:
+        """Creates the file; False if it is there already."""
+        if self._fs.exists(self._path(path)):
+            return False
+        try:
+            out = self._fs.create(self._path(path), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def manifest(self, version: int | None = None) -> dict:
+        """version, schema, parts (names) and shards (file and bytes of each live shard)."""
+        have = self.versions()
+        if not have:
+            return {"version": -1, "schema": None, "parts": [], "shards": []}
+        out = json.loads(self._load(f"{self.root}/versions/{have[-1] if version is None else version:08d}.json"))
+        out["shards"] = [s | {"part": p} for p in out["parts"] for s in map(json.loads, self._load(f"{self.root}/parts/{p}").splitlines())]
+        return out
+
+    def commit(self, last: dict, schema: str | None, gone: set[str], new: list[dict]) -> int:
+        """The version after `last`, without the shards of the files in `gone` and with the new ones. Parts without a
+        change are kept by name. Atomic: fails if the version is there already."""
         import uuid
 
-        own = self._path(f"{self.root}/versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(own, True)
-        out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode()))
-        out.close()
-        to = self._path(f"{self.root}/versions/{version:08d}.json")
-        if self._fs.exists(to) or not self._fs.rename(own, to):
-            self._fs.delete(own, False)
+        if last["version"] + 1 in self.versions():
+            raise RuntimeError(f"version {last['version'] + 1} is committed already")
+        changed = {s["part"] for s in last["shards"] if s["file"] in gone}
+        fresh = [s for s in last["shards"] if s["part"] in changed and s["file"] not in gone] + new
+        parts = [p for p in last["parts"] if p not in changed]
+        for lo in range(0, len(fresh), PART):
+            name = f"{uuid.uuid4().hex}.jsonl"
+            self._save(f"{self.root}/parts/{name}", "\n".join(json.dumps({"file": s["file"], "bytes": s["bytes"]}) for s in fresh[lo : lo + PART]))
+            parts.append(name)
+        version = last["version"] + 1
+        if not self._save(f"{self.root}/versions/{version:08d}.json", json.dumps({"version": version, "schema": schema, "parts": parts})):
             raise RuntimeError(f"version {version} is committed already")
         return version
 
@@ -80,7 +109,7 @@ class Store:
         last = self.manifest()
         folder = f"{self.root}/arrivals-{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", arrival_rows).option("compression", "zstd").parquet(folder)
-        return self.commit(last["version"] + 1, rows.schema.json(), last["shards"] + self._written(folder))
+        return self.commit(last, rows.schema.json(), set(), self._written(folder))
 
     def plan(self, target: int = TARGET_BYTES) -> list[list[dict]]:
         """Runs to merge. Within a tier, shards go in order of size and name; a run is closed at the target size."""
@@ -105,10 +134,10 @@ class Store:
             last = self.manifest()
             folder = f"{self.root}/merged-v{last['version'] + 1}"
             rows = [(k, [s["file"] for s in run]) for k, run in enumerate(runs)]
-            work = self.spark.createDataFrame(rows, "run int, files array<string>").repartition(len(rows), "run")
+            work = self.spark.createDataFrame(rows, "run int, files array<string>").repartition(len(rows))  # round robin: a run a task
             merged = [r.asDict() for r in work.mapInArrow(_merger(folder), "file string, bytes long").collect()]
             gone = {s["file"] for run in runs for s in run}
-            self.commit(last["version"] + 1, last["schema"], [s for s in last["shards"] if s["file"] not in gone] + sorted(merged, key=lambda x: x["file"]))
+            self.commit(last, last["schema"], gone, sorted(merged, key=lambda x: x["file"]))
         return self.manifest()["version"]
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -152,8 +181,13 @@ def _merger(folder: str):
 
 
 def sharded(docs: DataFrame, target: int = TARGET_BYTES, arrival_rows: int = ARRIVAL_ROWS) -> DataFrame:
-    """docs appended to a fresh store, compacted, and read back: its columns, and _shard, the file of each row."""
-    store = Store(docs.sparkSession, fresh_path(docs.sparkSession, "shards"))
+    """docs appended to a fresh store, compacted, and read back: its columns; _shard, the file of each row; and _bytes,
+    the size that the last version lists for that file, null if it lists none."""
+    spark = docs.sparkSession
+    store = Store(spark, fresh_path(spark, "shards"))
     store.append(docs, arrival_rows)
     store.compact(target)
-    return store.read().withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0))
+    live = [(s["file"].rsplit("/", 1)[1], s["bytes"]) for s in store.manifest()["shards"]]
+    sizes = spark.createDataFrame(live, "_shard string, _bytes long")
+    rows = store.read().withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0))
+    return rows.join(F.broadcast(sizes) if len(live) <= PART else sizes, "_shard", "left")

@@ -1,10 +1,11 @@
 """Benchmark decontamination: word windows of benchmark items found in documents, on DataFrame functions alone.
 
-A window is `width` consecutive words of an item (an item of fewer words, but not none, is one window). The hashes of
-the windows' first LEAD words go to every task as a membership table of fixed size. Each document's windows are probed
-against it in place; the few that pass are joined with the window set on all their words, which verifies them. The window table
-is broadcast only while its counted rows stay under BROADCAST_ROWS; above that the join shuffles the passed windows.
-No text is shuffled.
+A window is `width` consecutive words of an item (an item of fewer words, but not none, is one window). Two membership
+tables of bounded size, of the hashes of the windows' first LEAD words and of all their words, go to every task. Each
+document's windows are probed against them in place; the few that pass are joined with the window set on all their
+words, which verifies them. The window set is broadcast only while its measured bytes stay under BROADCAST_BYTES; above
+that the join shuffles the passed windows. No text is shuffled. report() marks documents, decontaminate() removes them,
+without_spans() removes the hit words alone.
 
 Null texts have no words. Null item ids are left out of item lists and counts, but their windows still hit. Repeated
 rows are separate documents; repeated items count once by id. Empty tables give no hits or no rows. Other columns of
@@ -21,7 +22,7 @@ from tessera.llm.grams import probes, slots_of, window_hash, word_hashes
 
 WIDTH = 10
 LEAD = 3
-BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 8 << 20
 
 
 def _words(text: Column) -> Column:
@@ -29,17 +30,20 @@ def _words(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id string, k, window, h): the distinct windows of each item, k words joined by a blank, and the
-    hash of the first LEAD of them."""
+    """(item_id string, k, window, h, full): the distinct windows of each item, k words joined by a blank, the hash of
+    the first LEAD of them and of all."""
     split = items.select(F.col("item_id").cast("string").alias("item_id"), _words(F.col("text")).alias("w"))
     sized = split.withColumn("n", F.size("w")).withColumn("k", F.least("n", F.lit(width))).where("n > 0")
     at = sized.select("item_id", "k", "w", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("i"))
     cutout = at.select("item_id", "k", F.slice("w", F.col("i") + 1, F.col("k")).alias("v"))
-    own = F.lit(None).cast("long")
-    for k in range(1, LEAD + 1):
-        short = F.col("k") == k if k < LEAD else F.col("k") >= LEAD
-        own = F.when(short, window_hash(word_hashes(F.slice("v", 1, LEAD)), F.lit(0), k)).otherwise(own)
-    return cutout.select("item_id", "k", F.array_join("v", " ").alias("window"), own.alias("h")).distinct()
+
+    def hashed(most: int) -> Column:
+        own, all_ = F.lit(None).cast("long"), word_hashes(F.col("v"))
+        for k in range(1, most + 1):
+            own = F.when(F.least("k", F.lit(most)) == k, window_hash(all_, F.lit(0), k)).otherwise(own)
+        return own
+
+    return cutout.select("item_id", "k", F.array_join("v", " ").alias("window"), hashed(LEAD).alias("h"), hashed(width).alias("full")).distinct()
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, payload: tuple[str, ...] = ()) -> DataFrame:
@@ -51,7 +55,8 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, payload: tuple[s
     hashed = split.withColumn("_h", word_hashes(F.col("_w"))).withColumn("n_words", F.size("_w"))
 
     def passing(k: int) -> Column:
-        at = probes(F.col("_h"), F.col("n_words"), k, slots_of(bench.where(F.col("k") == k), "h"), min(LEAD, k))
+        own = bench.where(F.col("k") == k)
+        at = probes(F.col("_h"), F.col("n_words"), k, [(min(LEAD, k), slots_of(own, "h")), (k, slots_of(own, "full"))][: 2 if k > LEAD else 1])
         return F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(k).alias("k"), F.array_join(F.slice("_w", i + 1, k), " ").alias("window")))
 
     found = [passing(k) for k in sizes]
@@ -59,7 +64,8 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, payload: tuple[s
     passed = hashed.select("_row", "doc_id", *payload, "n_words", F.explode_outer(F.concat(*found) if found else none).alias("p"))
     probed = passed.select("_row", "doc_id", *payload, F.col("n_words").cast("long").alias("n_words"), "p.i", "p.k", "p.window")
     by_window = bench.groupBy("k", "window").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.lit(True).alias("real"))
-    if bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = bench.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 100)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         by_window = F.broadcast(by_window)
     joined = probed.join(by_window, ["k", "window"], "left")
     real = F.col("real").isNotNull()
@@ -85,14 +91,30 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
+def _marked(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(_id, _key, hit, n_words): one row for each doc_id and text hash with hits."""
+    own = hits(docs.select("doc_id", "text", F.xxhash64(whole(docs["text"])).alias("_key")), items, width, payload=("_key",))
+    return own.where(F.size("hit") > 0).select(F.col("doc_id").alias("_id"), "_key", "hit", F.col("n_words").alias("_n")).dropDuplicates(["_id", "_key"])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_share: float = 0.0) -> DataFrame:
     """docs without the documents of which more than max_share of the words are hit. Same columns. Rows are matched by
     doc_id and text hash, so repeated ids do not mix."""
-    key = F.xxhash64(whole(docs["text"]))
-    marked = hits(docs.select("doc_id", "text", key.alias("_key")), items, width, payload=("_key",))
-    bad = marked.where(F.size("hit") > F.col("n_words") * max_share).select(F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key")).distinct()
-    bad = cut(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")
+    bad = cut(_marked(docs, items, width).where(F.size("hit") > F.col("_n") * max_share).select("_id", "_key"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(whole(docs["text"])) == bad["_key"]), "left_anti")
+
+
+def without_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with the hit words, and what stands between them and the next word, taken out of text; other texts stay as
+    they are. Same columns."""
+    bad = cut(_marked(docs, items, width).select("_id", "_key", F.col("hit").alias("_hit")))
+    joined = docs.select(F.struct(*docs.columns).alias("_doc")).join(
+        bad, F.col("_doc.doc_id").eqNullSafe(bad["_id"]) & (F.xxhash64(whole(F.col("_doc.text"))) == bad["_key"]), "left")
+    text, gap = F.col("_doc.text"), "[" + ALNUM_WORD[2:-2] + "]*"
+    tokens = words(text, ALNUM_WORD + gap)
+    kept = F.concat(F.regexp_extract(text, "^" + gap, 0), F.array_join(F.filter(tokens, lambda w, i: ~F.array_contains("_hit", i)), ""))
+    out = F.when(F.col("_hit").isNull(), text).otherwise(kept)
+    return joined.select(*[out.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 REPORT_SQL = r"""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flag_text
-
-#: Slots of the membership table that travels with the tasks: a fixed 256 KB, whatever the set.
-SLOTS = 1 << 18
+#: Slots (bytes) of a membership table that travels with the tasks: about 16 for each window, between these bounds.
+SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
 
 
 def word_hashes(words: Column) -> Column:
@@ -20,18 +19,27 @@ def window_hash(hashes: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]) if k > 1 else F.get(hashes, i)
 
 
-def slots_of(windows: DataFrame, hash_col: str) -> set[int]:
-    """The taken slots of a window set; at most SLOTS numbers reach the driver."""
-    return {r[0] for r in windows.select(F.pmod(F.col(hash_col), F.lit(SLOTS)).cast("int")).distinct().toLocalIterator()}
-
-
-def probes(hashes: Column, n: Column, k: int, slots: set[int], lead: int | None = None) -> Column:
-    """Positions i of a text of n words whose window of k words may be in the set: none is missed, and about
-    len(slots) / SLOTS of the others pass. The slots are those of the hash of a window's first `lead` words (all k
-    if None). Positions are ints."""
-    if not slots:
-        return F.expr("array()").cast("array<int>")
-    flags = flag_text(slots, SLOTS)
+def slots_of(windows: DataFrame, hash_col: str) -> bytes:
+    """The membership table of a window set: byte i is 1 if slot i is taken. At most MOST_SLOTS numbers reach the driver."""
+    n = windows.select(hash_col).distinct().count()
+    if not n:
+        return b""
+    size = min(MOST_SLOTS, max(SLOTS, 1 << (16 * n - 1).bit_length()))
+    flags = np.zeros(size, np.uint8)
+    flags[windows.select(F.pmod(F.col(hash_col), F.lit(size)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()] = 1
+    return flags.tobytes()
+
+
+def probes(hashes: Column, n: Column, k: int, tables: list[tuple[int, bytes]]) -> Column:
+    """Positions i of a text of n words whose window of k words may be in the set: none is missed. tables: (lead, table)
+    in order; each table holds hashes of the windows' first `lead` words, and of the other positions at most the taken
+    share of its slots passes. Positions are ints."""
+    empty = F.expr("array()").cast("array<int>")
+    if not all(t for _, t in tables):
+        return empty
+    at = F.when(n >= k, F.sequence(F.lit(0), (n - k).cast("int"))).otherwise(empty)
     taken = F.lit(bytearray([1]))
-    inside = F.when(n >= k, F.sequence(F.lit(0), (n - k).cast("int"))).otherwise(F.expr("array()").cast("array<int>"))
-    return F.filter(inside, lambda i: F.substring(flags, F.pmod(window_hash(hashes, i, lead or k), F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == taken)
+    for lead, table in tables:
+        flags, size = F.lit(bytearray(table)), F.lit(len(table))
+        at = F.filter(at, lambda i: F.substring(flags, F.pmod(window_hash(hashes, i, lead), size).cast("int") + 1, F.lit(1)) == taken)  # noqa: B023
+    return at

@@ -2,7 +2,7 @@
 
 The scanner knows templates: the phrases of the base contract, short license notices, and the texts of licenses. Every
 rolling word k-gram of a document (k is 2 for phrases and notices, LONG for texts) is hashed and probed against a
-fixed-size membership table; those that pass are joined with the template positions on their words. A match at document
+small membership table; those that pass are joined with the template positions on their words. A match at document
 word p and template word q votes for the diagonal p - q. Votes are gathered per document, template and diagonal;
 diagonals at most MERGE apart (words put in or left out) are merged around each diagonal that has the most votes among
 them; and the span is verified: a phrase must have every k-gram on one diagonal (then its words stand consecutively); of
@@ -148,7 +148,7 @@ def spans(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     hashed = split.withColumn("_h", word_hashes(F.col("_w"))).withColumn("n_words", F.size("_w").cast("long"))
 
     def passing(k: int) -> Column:
-        at = probes(F.col("_h"), F.col("n_words"), k, slots_of(own.where(F.col("k") == k), "h"))
+        at = probes(F.col("_h"), F.col("n_words"), k, [(k, slots_of(own.where(F.col("k") == k), "h"))])
         return F.transform(at, lambda p: F.struct(p.alias("p"), F.lit(k).alias("k"), F.array_join(F.slice("_w", p + 1, k), " ").alias("gram")))
 
     grams = F.concat(passing(SHORT), passing(LONG))

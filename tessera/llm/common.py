@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets an own
+    folder (tests); a cluster is refused, since its executors would write where no one else can read."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -33,22 +39,64 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: The tables that cut() has written in the innermost open scratch() block.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _note(path: str) -> None:
+    own = _scratch.get()
+    if own is not None:
+        own.append(path)
+
+
+#: Spark removes the shuffle files of an execution at its end instead of when the driver next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage: a lost executor costs nothing that was done before.
-    A written table rather than checkpoint(): compressed, column-pruned, and its size feeds the broadcast decisions."""
+    A written table rather than checkpoint(): compressed, column-pruned, its size feeds the broadcast decisions, and the
+    shuffle files that led to it go at once."""
     spark = df.sparkSession
     path = fresh_path(spark, "cut")
-    df.write.parquet(path)
+    _write(df, path)
+    _note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of cut(); only for frames whose every consumer has been materialised."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes in the block are deleted when it ends, so nothing lazy may leave it; what must stay is
+    cut() after it."""
+    own: list[str] = []
+    token = _scratch.set(own)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(spark: SparkSession, make) -> DataFrame:
+    """cut(make()), with the tables that make() wrote on the way deleted."""
+    path = fresh_path(spark, "cut")
+    with scratch(spark):
+        df = make()
+        _write(df, path)
+    _note(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole(text: str | Column = "text") -> Column:
@@ -63,10 +111,3 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-
-def flag_text(slots: set[int], size: int) -> Column:
-    """A fixed-size membership table as one binary literal: byte i is 1 if slot i is taken."""
-    flags = bytearray(size)
-    for s in slots:
-        flags[s] = 1
-    return F.lit(flags)

@@ -30,6 +30,13 @@ def slots_of(windows: DataFrame, hash_col: str) -> bytes:
     return flags.tobytes()
 
 
+def passes(number: Column, table: bytes) -> Column:
+    """Whether the slot of a number is taken; false of an empty table."""
+    if not table:
+        return F.lit(False)
+    return F.substring(F.lit(bytearray(table)), F.pmod(number, F.lit(len(table))).cast("int") + 1, F.lit(1)) == F.lit(bytearray([1]))
+
+
 def probes(hashes: Column, n: Column, k: int, tables: list[tuple[int, bytes]]) -> Column:
     """Positions i of a text of n words whose window of k words may be in the set: none is missed. tables: (lead, table)
     in order; each table holds hashes of the windows' first `lead` words, and of the other positions at most the taken
@@ -38,8 +45,6 @@ def probes(hashes: Column, n: Column, k: int, tables: list[tuple[int, bytes]]) -
     if not all(t for _, t in tables):
         return empty
     at = F.when(n >= k, F.sequence(F.lit(0), (n - k).cast("int"))).otherwise(empty)
-    taken = F.lit(bytearray([1]))
     for lead, table in tables:
-        flags, size = F.lit(bytearray(table)), F.lit(len(table))
-        at = F.filter(at, lambda i: F.substring(flags, F.pmod(window_hash(hashes, i, lead), size).cast("int") + 1, F.lit(1)) == taken)  # noqa: B023
+        at = F.filter(at, lambda i: passes(window_hash(hashes, i, lead), table))  # noqa: B023
     return at

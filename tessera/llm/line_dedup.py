@@ -8,8 +8,10 @@ connected components of the links (distributed union-find) are classes. Of each
 (doc_id, line number) stays. Equal lines are one class from the start and enter the search once.
 
 Null text has no lines. A null doc_id sorts last, so its lines yield to others. Rows repeated with id and text repeat
-their lines: the first by row stays. An empty table gives an empty result. Columns other than doc_id and text are ignored.
-Candidates of a hot band are linked through hubs, and what hubs leave is compared in blocks (lsh.linked), never as rows of all pairs.
+their lines: the first by row stays. An empty table gives an empty result. Columns other than doc_id and text are ignored
+by dedup_lines() and passed through by without_lines(). Candidates of a hot band are linked through hubs, and what hubs
+leave is compared in blocks (lsh.linked), never as rows of all pairs. Rows get their numbers in the one pass that is
+written first, so they agree whatever the plan of `docs` does when it is run again.
 """
 
 from __future__ import annotations
@@ -22,22 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, whole
-from tessera.llm.lsh import linked, shared_buckets
+from tessera.llm.common import cut, whole, written
+from tessera.llm.lsh import linked, shared_buckets, sketch
 
-SHINGLE = 4
+SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 12, 5
 BINS = 64  # a power of two: the bin is the top bits of the hash; the first BANDS * ROWS bins are used
-#: Bits of the table that marks which lines the verification needs: 4 MB, whatever the corpus. Where it is crowded,
-#: more lines pass than needed and the join drops them.
+#: Candidates may differ in so many of the BINS sketch lanes: at the threshold 12 +- 3 do, in short lines +- 6.
+MOST = 28
+#: Bits of the tables that mark which band keys are shared and which lines the verification needs: 4 MB, whatever the
+#: corpus. Where one is crowded, more passes than needed and the join drops it.
 MARKS = 1 << 25
 SEEN = 200_000
 PIECE = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_POWERS32 = {k: np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in (1, 2, 4)}
-_POWERS = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4)}
+_P32 = np.uint32(0x9E3779B1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +50,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _short_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """32-bit hashes of the runs, for signatures only: 32-bit products run in vector units, 64-bit ones do not."""
-    h = codes
-    if width == SHINGLE:
-        size = 1
-        while size < SHINGLE:
-            h = h[:-size] * _POWERS32[size] + h[size:]
-            size *= 2
-    else:
-        n = len(codes) - width + 1
-        h = codes[:n]
-        for k in range(1, width):
-            h = h * _POWERS32[1] + codes[k : n + k]
+    n = len(codes) - width + 1
+    h = codes[:n]
+    for k in range(1, width):
+        h = h * _P32 + codes[k : n + k]
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
     return h ^ (h >> np.uint32(16))
@@ -79,13 +75,7 @@ def line_hash(line: str) -> int:
 
 
 def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of width codes. Runs of SHINGLE are put together from runs of half the length."""
-    if width == SHINGLE:
-        h, size = codes.astype(np.uint64), 1
-        while size < SHINGLE:
-            h = h[:-size] * _POWERS[size] + h[size:]
-            size *= 2
-        return _mix(h * _P)
+    """Hash of each run of width codes."""
     n = len(codes) - width + 1
     h = codes[:n].astype(np.uint64)
     for k in range(1, width):
@@ -94,7 +84,7 @@ def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """Band keys of each line (len >= 1), shape (lines, BANDS)."""
+    """The least hash of each bin of each line (len >= 1), empty bins filled, shape (lines, BINS)."""
     least = np.full((len(lines), BINS), _EMPTY, np.uint32)
     flat = least.ravel()
 
@@ -129,36 +119,47 @@ def signatures(lines: list[str]) -> np.ndarray:
             fill[row[hit], bin_[hit]] = _mix(other[hit] + np.uint64(t + 1))
             left = np.unique(row)
         full[hollow] = fill
-    key = np.zeros((len(lines), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    rows = full[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
+    return full
+
+
+def band_keys(full: np.ndarray) -> np.ndarray:
+    """Band keys of signatures, shape (lines, BANDS)."""
+    key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    rows = full[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS)
     for k in range(ROWS):
         key = _mix(key * _P + rows[:, :, k])
     return key.view(np.int64)
 
 
+def _lists(rows: np.ndarray, fresh: list[bool]) -> pa.ListArray:
+    """The rows as lists, one for each place that is fresh, and empty ones for the others."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh)]) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+_LINES = "row long, doc_id long, line int, node long, keys array<long>, sketch array<long>"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) -> (row, doc_id, line, node, keys); keys only where the task meets a line first."""
+    """(row, doc_id, text) -> (row, doc_id, line, node, keys, sketch); the last two only where the task meets a line
+    first. After its lines, each row of docs has one of line -1, whose node is the number of its lines."""
     seen: set[int] = set()
 
     def flush(rows, docs, at, nodes, fresh, lines):
-        keys = signatures(lines) if lines else np.empty((0, BANDS), np.int64)
-        offsets, k = [0], 0
-        for f in fresh:
-            k += BANDS * f
-            offsets.append(k)
+        full = signatures(lines) if lines else np.empty((0, BINS), np.uint64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))],
-            ["row", "doc_id", "line", "node", "keys"],
+            [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), _lists(band_keys(full), fresh), _lists(sketch(full), fresh)],
+            ["row", "doc_id", "line", "node", "keys", "sketch"],
         )
 
     rows, docs, at, nodes, fresh, lines, size = [], [], [], [], [], [], 0
     for batch in batches:
         for row, doc, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            row, doc = row.as_py(), doc.as_py()
+            row, doc, n = row.as_py(), doc.as_py(), 0
             for k, line in enumerate(text.as_py().split("\n")):
                 line = line.strip()
                 if not line:
                     continue
+                n += 1
                 node = line_hash(line)
                 rows.append(row)
                 docs.append(doc)
@@ -171,6 +172,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen.add(node)
                     lines.append(line)
                     size += len(line)
+            rows.append(row)
+            docs.append(doc)
+            at.append(-1)
+            nodes.append(n)
+            fresh.append(False)
             if size >= PIECE or len(rows) >= 20_000:
                 yield flush(rows, docs, at, nodes, fresh, lines)
                 rows, docs, at, nodes, fresh, lines, size = [], [], [], [], [], [], 0
@@ -178,15 +184,52 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows, docs, at, nodes, fresh, lines)
 
 
-def _marks(nodes: DataFrame) -> np.ndarray:
-    """The bit table of the nodes; at most MARKS / 64 numbers reach the driver."""
-    words = nodes.selectExpr(f"cast(pmod(node, {MARKS}) div 64 as int) AS w", f"shiftleft(1L, cast(pmod(node, {MARKS}) % 64 as int)) AS b")
+def _marks(numbers: DataFrame) -> np.ndarray:
+    """The bit table of a column of numbers; at most MARKS / 64 rows reach the driver."""
+    x = numbers.columns[0]
+    words = numbers.selectExpr(f"cast(pmod({x}, {MARKS}) div 64 as int) AS w", f"shiftleft(1L, cast(pmod({x}, {MARKS}) % 64 as int)) AS b")
     table = np.zeros(MARKS // 64, np.uint64)
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return table
 
 
+def _shared_bands(lines: DataFrame) -> DataFrame:
+    """Distinct (node, key) rows, all of the keys that several lines share among them. Only counts of keys are shuffled
+    for all lines; few others pass the table of the keys that come more than once."""
+    twice = lines.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    marks = lines.sparkSession.sparkContext.broadcast(_marks(twice))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = marks.value
+        for batch in batches:
+            keys = batch.column(1).flatten().to_numpy()
+            slots = keys & (MARKS - 1)
+            held = (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            nodes = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[held]), pa.array(keys[held])], ["node", "key"])
+
+    out = cut(lines.select("node", "keys").mapInArrow(pick, "node long, key long").distinct())
+    marks.destroy()
+    return out
+
+
+def _sketches(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sketch) of the given nodes, one row each."""
+    marks = lines.sparkSession.sparkContext.broadcast(_marks(nodes))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = marks.value
+        for batch in batches:
+            slots = batch.column(0).to_numpy() & (MARKS - 1)
+            yield batch.filter(pa.array((table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    held = lines.where("size(sketch) > 0").select("node", "sketch").mapInArrow(pick, "node long, sketch array<long>")
+    out = cut(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
+    marks.destroy()
+    return out
+
+
 def _needed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given nodes, one row each, from the documents."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(nodes))
@@ -208,7 +251,9 @@ def _needed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["node", "text"])
 
     picked = docs.select(whole().alias("text")).mapInArrow(pick, "node long, text string")
-    return cut(picked.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    out = cut(picked.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    marks.destroy()
+    return out
 
 
 def _verifier(texts: DataFrame, threshold: float):
@@ -226,12 +271,7 @@ def _verifier(texts: DataFrame, threshold: float):
         for batch in batches:
             mask = []
             for a, b, ta, tb in zip(*batch.columns, strict=True):
-                x, y = shingles(a, ta), shingles(b, tb)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    mask.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                mask.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+                mask.append(_holds(shingles(a, ta), shingles(b, tb), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -247,23 +287,38 @@ def _line_shingles(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(codes, min(SHINGLE, len(codes))))
 
 
-def _sketcher(texts: DataFrame):
-    """nodes -> (node, sketch): the upper halves of all shingle hashes of the node's line."""
+def _sets(texts: DataFrame):
+    """nodes -> (node, set): all shingle hashes of the node's line."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = [(_line_shingles(t.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "sketch"])
+            drawn = [_line_shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "set"])
+
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, set binary")
+
+
+def _same(threshold: float):
+    """Whether two sets reach the threshold."""
 
-    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, sketch binary")
+    def same(a: bytes, b: bytes) -> bool:
+        return _holds(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold)
+
+    return same
+
+
+def _holds(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both) - 1e-9
 
 
 def _close(threshold: float, width: int = 2048):
-    """Lines whose shared shingles are enough, counted by matrix products over `width` shingles at a time. Equal halves
-    of different hashes can only raise a count, so no pair is missed."""
+    """Lines whose shared shingles are enough, counted by matrix products over `width` shingles at a time."""
 
     def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        (x, i), (y, j) = ((np.frombuffer(b"".join(s), np.uint32), np.repeat(np.arange(len(s)), [len(v) // 4 for v in s])) for s in (a, b))
+        (x, i), (y, j) = ((np.frombuffer(b"".join(s), np.uint64), np.repeat(np.arange(len(s)), [len(v) // 8 for v in s])) for s in (a, b))
         both = np.zeros((len(a), len(b)), np.float32)
         known = np.intersect1d(x, y)
         for lo in range(0, len(known), width):
@@ -274,7 +329,7 @@ def _close(threshold: float, width: int = 2048):
                 at = np.minimum(np.searchsorted(part, v[inside]), len(part) - 1)
                 hit = part[at] == v[inside]
                 side = np.zeros((n, len(part)), np.float32)
-                np.add.at(side, (owner[inside][hit], at[hit]), 1)
+                side[owner[inside][hit], at[hit]] = 1
                 sides.append(side)
             both += sides[0] @ sides[1].T
         na, nb = np.bincount(i, minlength=len(a)), np.bincount(j, minlength=len(b))
@@ -283,40 +338,57 @@ def _close(threshold: float, width: int = 2048):
     return close
 
 
-def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(lines: row, doc_id, line, node; roots: node, root of the lines that have links)."""
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    lines = cut(given.mapInArrow(_sign, "row long, doc_id long, line int, node long, keys array<long>"))
-    bands = lines.select("node", F.explode("keys").alias("key"))
-    many = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    shared = cut(shared_buckets(cut(bands.join(many, "key").distinct())))
-    texts = _needed(docs, shared.select("node").distinct())
-    _, roots = linked(shared, _verifier(texts, threshold), _sketcher(texts), _close(threshold))
-    return lines.select("row", "doc_id", "line", "node"), roots
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+
+
+def line_classes(given: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, doc_id, text) -> written rows (row, doc_id, line, root), root being the same for the lines of a class; and
+    for each row of `given` one of line -1, whose root is the number of its lines. `given` is numbered once."""
+
+    def classes() -> DataFrame:
+        lines = cut(given.mapInArrow(_sign, _LINES))
+        shared = cut(shared_buckets(_shared_bands(lines)))
+        used = cut(shared.select("node").distinct())
+
+        def fetch(nodes: DataFrame):
+            texts = _needed(given, nodes)
+            return _verifier(texts, threshold), _sets(texts)
+
+        roots = linked(cut(shared.join(_sketches(lines, used), "node")), fetch, _close(threshold), _same(threshold), MOST)
+        own, sums = (lines.where(x).select("row", "doc_id", "line", "node") for x in ("line >= 0", "line < 0"))
+        classed = own.join(roots, "node", "left").select("row", "doc_id", "line", F.coalesce("root", "node").alias("root"))
+        return classed.union(sums)
+
+    return written(given.sparkSession, classes)
+
+
+def _dropped(given: DataFrame, threshold: float) -> DataFrame:
+    """Per row of `given`: row, doc_id, n_lines, dropped."""
+    classed = line_classes(given, threshold)
+    own = classed.where("line >= 0")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line")
+    # Written, so that the lines of a large class are split by the skew join.
+    first = cut(own.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "first.row", "first.line"))
+    other = first.select("root", F.col("row").alias("_row"), F.col("line").alias("_line"))
+    late = own.join(other, "root").where((F.col("row") != F.col("_row")) | (F.col("line") != F.col("_line")))
+    gone = late.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))  # a document's own lines
+    sums = classed.where("line < 0").select("row", "doc_id", F.col("root").alias("n_lines"))
+    return sums.join(gone, "row", "left").withColumn("dropped", F.coalesce("dropped", F.expr("array()").cast("array<int>")))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_lines (with characters), n_dropped, dropped (sorted numbers of the lines that
     repeat an earlier line of any document, counted from 0 over all line feeds)."""
-    lines, roots = line_classes(docs, threshold)
-    classed = cut(lines.join(roots, "node", "left").select("row", "doc_id", "line", F.coalesce("root", "node").alias("root")))
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line")
-    first = classed.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = classed.join(first, "root").where(~((F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))))
-    gone = late.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
-    # A document's own lines: bounded by its text.
-    all_rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"))
-    counts = classed.groupBy("row").agg(F.count(F.lit(1)).alias("n_lines"))
-    none = F.expr("array()").cast("array<int>")
-    return (
-        all_rows.join(counts, "row", "left").join(gone, "row", "left")
-        .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
-    )
-
-
-def without_lines(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """docs with the dropped lines taken out of text. Rows are matched by doc_id, which must be unique."""
-    gone = result.where("n_dropped > 0").select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    return joined.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    return _dropped(_given(docs), threshold).select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
+def without_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with the repeated lines taken out of text; rows may repeat ids. Same columns."""
+    held = cut(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("row")))
+    given = held.select("row", F.col("_doc.doc_id").cast("long").alias("doc_id"), whole(F.col("_doc.text")).alias("text"))
+    gone = _dropped(given, threshold).where("size(dropped) > 0").select("row", "dropped")
+    text = F.col("_doc.text")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    out = held.join(gone, "row", "left").withColumn("_text", F.when(F.col("dropped").isNull(), text).otherwise(kept))
+    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])

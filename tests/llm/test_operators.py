@@ -116,8 +116,10 @@ def test_line_dedup(spark, odd, none):
     docs = spark.createDataFrame([(1, "a first line of some text\nanother line here\n\nx"), (2, " a first line of some text \nx\nunique"), (3, "a first line of some texts, a"), (4, None), (None, "unique")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in rows(line_dedup.dedup_lines(docs))}
     assert got[1]["dropped"] == [] and got[1]["n_lines"] == 3 and got[2]["dropped"] == [0, 1] and got[4]["n_lines"] == 0 and got[None]["dropped"] == [0]
-    clean = {r["doc_id"]: r["text"] for r in rows(line_dedup.without_lines(docs.where("doc_id IS NOT NULL"), line_dedup.dedup_lines(docs)))}
-    assert clean[2] == "unique"
+    clean = {r["doc_id"]: r["text"] for r in rows(line_dedup.without_lines(docs))}
+    assert clean[2] == "unique" and clean[1] == "a first line of some text\nanother line here\n\nx" and clean[4] is None and clean[None] == ""
+    twice = rows(line_dedup.without_lines(spark.createDataFrame([(1, "same line of text\nmore", "x")] * 3, "doc_id long, text string, row string")))
+    assert sorted((r["doc_id"], r["text"], r["row"]) for r in twice) == [(1, "", "x"), (1, "", "x"), (1, "same line of text\nmore", "x")]
     assert len(rows(line_dedup.dedup_lines(odd))) == len(ODD) and rows(line_dedup.dedup_lines(none)) == []
 
 
@@ -126,19 +128,85 @@ def test_html(spark):
         "<article><h1>Head &amp; line</h1><p><b>One\n two<br><p>Th&#233;</p><div id=comments><p>nice</p></div></article><footer>foot</footer>"
     plain = "<body><div>Site</div><p>Text {}</p><div>Bottom</div>"
     data = [(1, "http://a/x/1", page, "z"), (2, "http://b/1", plain.format(1), "z"), (3, "http://b/2", plain.format(2), "z"), (4, None, None, None), (5, "http://b/3", "", None), (5, "bad", "<", None)]
-    got = rows(html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string, text string").coalesce(1)))
+    got = rows(html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string, host string")))
     of = {(r["page_id"], r["url"]): r for r in got}
     assert of[1, "http://a/x/1"]["text"] == "Head & line\nOne two\nThé" and of[1, "http://a/x/1"]["n_chars"] == 23
-    assert "Text 1" in of[2, "http://b/1"]["text"] and of[4, None]["text"] == "" and len(got) == 6
+    assert of[2, "http://b/1"]["text"] == "Text 1" and of[3, "http://b/2"]["text"] == "Text 2" and of[4, None]["text"] == "" and len(got) == 6
     assert html_extract.common_lines(list("abcbd"), list("bcd")) in ({1, 2, 4},)
     assert rows(html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+def _text(html, partner=None):
+    return html_extract.article(html_extract.page_lines(html), html_extract.page_lines(partner) if partner else None)[0]
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_op4_names_inside_the_article(tag):
+    for kept in ('id="related-work"', 'class="share-price"', 'id="search"', 'class="commentary"', 'class="header"'):
+        assert _text(f"<{tag}><p>One</p><section {kept}><p>Two</p></section></{tag}>") == "One\nTwo"
+    for gone in ('class="commentList"', 'class="userComments"', 'class="responses"', 'id="comment-12"', 'class="ad-slot"'):
+        assert _text(f"<{tag}><p>One</p><div {gone}><p>Two</p></div></{tag}>") == "One"
+    assert _text(f'<{tag}><p>One</p></{tag}><article class="comment"><p>Two</p></article>') == "One"
+    assert _text("<article><p>One</p><article><p>Reply</p></article></article>") == "One"
+
+
+def test_op4_differencing_decides_without_article():
+    page = "<body><div>Site name</div><div>Home</div><div><p>Body {0} first</p><p>Body {0} second</p></div><div>All about us</div></body>"
+    assert _text(page.format("a"), page.format("b")) == "Body a first\nBody a second"
+    # A teaser in an <article> does not replace the body beside it; shared lines of an article stay.
+    beside = "<div>Menu</div><article><p>Teaser</p></article><div><p>The body of {} is long.</p></div>"
+    assert _text(beside.format("a"), beside.format("b")) == "Teaser\nThe body of a is long."
+    shared = "<div>Menu</div><article><p>Same passage here</p><p>{}</p></article>"
+    assert _text(shared.format("a"), shared.format("b")) == "Same passage here\na"
+
+
+def test_op4_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<a " * 100_000, "<a href=\"" * 60_000, "<" * 300_000, "<!-" * 100_000, "<script>" * 50_000, "<div>" * 30_000 + "</p>" * 30_000, "<p 'x\">" * 50_000):
+        html_extract.page_lines(html)
+    same = [(0, "same")] * 40_000
+    assert html_extract.article(same, same + same[:1])[1] == 40_000
+    assert time.time() - began < 20
+
+
+def test_op4_equals_brute_force_whatever_the_ranges(spark):
+    """A host without <article>, with copies side by side, over many ranges: each page against its nearest neighbours."""
+    body = "<div>Site {h}</div><div>{k} own line</div><p>passage {m}</p><div>Bottom {h}</div>"
+    data = []
+    for h in range(3):
+        for k in range(60):
+            data.append((h * 100 + k, f"http://h{h}/dir{k % 7}/p{k}", body.format(h=h, k=k if k % 10 else 0, m=k % 3)))
+    ordered = sorted(data, key=lambda r: (r[1].split("/")[2], "/" + "/".join(r[1].split("/")[3:]), r[0]))
+    want = {}
+    for i, (page_id, url, html) in enumerate(ordered):
+        lines = html_extract.page_lines(html)
+        near = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(ordered) and ordered[j][1].split("/")[2] == url.split("/")[2] and html_extract.page_lines(ordered[j][2]) == lines:
+                j += step
+            if 0 <= j < len(ordered) and ordered[j][1].split("/")[2] == url.split("/")[2]:
+                near.append(ordered[j])
+        best = max(near, key=lambda r: html_extract._near(url, r[1]))
+        want[page_id] = html_extract.article(lines, html_extract.page_lines(best[2]))[0]
+    assert all("Site" not in x and "Bottom" not in x for x in want.values())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    for n in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert {r["page_id"]: r["text"] for r in rows(html_extract.extract(df))} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_token_store(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    tricky = [(10, "It's THE!! end² Été é x\ty\x1cz 12ab don't,'s <|endoftext|> ΣΑΣ 中文 \r\n a_b"), (-3, "  ")]
+    tricky = [(10, "It's THE!! end² Été é x\ty\x1cz 12ab don't,'s <|endoftext|> ΣΑΣ 中文 \r\n a_b"), (-3, "  "), (-(1 << 63), "least ALİ, VELİ.")]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(tricky, "doc_id long, text string"))
     root = f"file://{tmp_path}/store"
     token_store.write(docs, root, tokenizer_path())
@@ -151,13 +219,33 @@ def test_token_store(spark, odd, none, tmp_path):
     for r in got:
         assert r["start"] == start
         start += r["n_tokens"]
-    shard = spark.read.parquet(f"{root}/manifest").where("first_id <= 10 AND last_id >= 10").first()
-    with open(f"{tmp_path}/store/{shard.name}.idx", "rb") as i, open(f"{tmp_path}/store/{shard.name}.ids", "rb") as p:
-        index = token_store.Index(i, p)
-        assert index.get(10)[0].tolist() == [*t.encode(tricky[0][1], add_special_tokens=False).ids, 2] and index.get(987654) == []
+    store = token_store.Store(spark, root)
+    encoded = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    for key in {r.doc_id for r in docs.collect()} - {None}:
+        assert sorted(x.tolist() for x in store.get(key)) == sorted(encoded(r.text) for r in docs.where(f"doc_id = {key}").collect())
+    assert store.get(987654) == [] and store.get(1 << 62) == [] and store.get(-5) == []
     assert rows(token_store.store(none, tokenizer_path())) == []
 
 
+def test_op5_ids_equal_whole_text_encoding():
+    """Every letter before every kind of mark, and random texts of letters, marks, digits and blanks of many kinds."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(tokenizer_path()), token_store.Encoder(tokenizer_path(), 2, True)
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalpha() and not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or c >= 0x17000 and c < 0x33480)]
+    texts = [" ".join(f"x{c}{m} {c}{m}" for c in letters[k : k + 50]) for k in range(0, len(letters), 50) for m in (".", "),", "'s", "!\u0301", "")]
+    texts += ["ALİ, VELİ.", "Kadirİ, sonra", "KADİ.", "İ.", " \u0301a. e\u0301.", "\u0958. \ufb2a, \u212a!"]
+    rng = np.random.default_rng(8)
+    marks = list(token_store.Encoder.MARKS) + list("'   \n\n\t\r\x1c\u00a0\u0301\u0307\u05b401²½Ⅷ一€😀") + ["'s", "'LL", "<|endoftext|>"]
+    pool = letters[:400] + [letters[int(k)] for k in rng.integers(0, len(letters), 400)] + ["İ"] * 40 + marks * 8
+    texts += ["".join(pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(1, 30)))) for _ in range(20_000)]
+    for lo in range(0, len(texts), 64):
+        for text, ids in zip(texts[lo : lo + 64], own.encode(texts[lo : lo + 64]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], ascii(text)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
     keys = np.unique(keys)
@@ -173,7 +261,7 @@ def test_mixing(spark, odd, none):
     by = {s: [x for x in r if x["source"] == s] for s in {x["source"] for x in r}}
     for own in by.values():
         assert sum(x["size"] for x in own) == own[0]["source_size"]
-        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 0.02 * own[0]["target"] + 3
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 0.05 * own[0]["target"] + 3
     assert sorted(map(str, r)) == sorted(map(str, rows(mixing.report(docs).join(docs.select("doc_id", "source"), "doc_id"))))
     mixed = rows(mixing.mix(docs))
     taken = {x["doc_id"]: x["taken"] for x in r}
@@ -182,7 +270,75 @@ def test_mixing(spark, odd, none):
     # Caps: a small heavy source stops at three times its size.
     tiny = spark.createDataFrame([(1, "a", "w " * 900), (2, "b", "w " * 10), (3, None, None)], "doc_id long, source string, text string")
     of = {r["doc_id"]: r for r in rows(mixing.report(tiny))}
-    assert of[2]["target"] == 30 and of[2]["taken"] == 30 and of[1]["target"] == 880 and of[3]["taken"] == 0
+    assert of[2]["target"] == 30 and 20 <= of[2]["taken"] <= 30 and of[1]["target"] == 880 and of[3]["taken"] == 0
+    # Taken whole or in parts, words keep the line breaks between them.
+    lines = spark.createDataFrame([(k, "ab"[k % 2], "one two\nthree\n\nfour " * 400) for k in range(4)], "doc_id long, source string, text string")
+    assert all("one two\nthree\n\nfour one" in r["text"] for r in rows(mixing.mix(lines)))
+
+
+def test_op6_equals_brute_force(spark):
+    """Draws, permutations, layout and sums redone in Python from the drawn slots and the hashes of rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.col("source")))
+    sized = mixing.sized(docs)
+    plan = {r["_key"]: r for r in rows(mixing.targets(sized))}
+    # Targets, by lowering the level until the mix has as many words as there are.
+    size = {k: r["source_size"] for k, r in plan.items()}
+    names = sorted(size, key=lambda k: (k == "n", k))
+    weight = {k: i % 3 + 1 for i, k in enumerate(names)}
+    lo, hi = 0.0, float(sum(size.values()))
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(3 * size[k], mid * weight[k]) for k in names) < sum(size.values()) else (lo, mid)
+    assert all(abs(plan[k]["target"] - min(3 * size[k], lo * weight[k])) < 1e-6 * size[k] + 1e-6 for k in names)
+    taken = {}
+    for seed in (11, 12):
+        slots = rows(mixing.slots(mixing.targets(sized), seed))
+        total = sum(plan[k]["target"] / plan[k]["block"] for k in names)
+        assert sorted(r["id"] for r in slots) == list(range(round(total)))
+        drawn = Counter(r["_key"] for r in slots)
+        for k in names:
+            goal = plan[k]["target"] / plan[k]["block"]
+            assert abs(drawn[k] - goal) <= 5 * goal**0.5
+        at = rows(mixing.taken_blocks(mixing.targets(sized), seed))
+        by = {k: [r for r in at if r["_key"] == k] for k in names}
+        for k in names:
+            n = plan[k]["blocks"]
+            assert sorted(r["slot"] for r in by[k]) == list(range(min(drawn[k], 3 * n)))
+            for e in range(3):
+                own = [r["index"] for r in by[k] if r["slot"] // n == e]
+                assert len(set(own)) == len(own) and all(0 <= x < n for x in own)
+        times = Counter((r["_key"], r["index"]) for r in at)
+        want, place = {}, Counter()
+        buckets = max(16, -(-sized.count() // mixing.BUCKET_ROWS))
+        layout = rows(sized.withColumn("b", F.pmod(F.xxhash64("_place", F.lit(mixing.SEED)), F.lit(buckets))))
+        for r in sorted(layout, key=lambda r: (r["_key"], r["b"], r["_place"], r["_row"])):
+            block, start = plan[r["_key"]]["block"], place[r["_key"]]
+            want[r["_id"]] = sum(times[r["_key"], (start + j) // block] for j in range(r["_size"]))
+            place[r["_key"]] += r["_size"]
+        got = {r["doc_id"]: r["taken"] for r in rows(mixing.report(docs, seed))}
+        assert got == want
+        taken[seed] = got
+        blocks = rows(mixing.blocks(docs, seed))
+        assert sum(b["n_words"] for b in blocks) == sum(got.values()) and all(len(SPACE.findall(b["text"])) == b["n_words"] for b in blocks)
+        assert len({(b["shard"], b["place"]) for b in blocks}) == len(blocks)
+        shards = Counter((r["shard"], r["_key"]) for r in slots)
+        full = [k for k in names if drawn[k] <= 3 * plan[k]["blocks"]]
+        key = lambda s: "n" if s is None else "s" + s
+        assert all(sum(b["shard"] == s and key(b["source"]) == k for b in blocks) == n for (s, k), n in shards.items() if k in full)
+    assert taken[11] != taken[12]
+
+
+def test_op6_other_draws_change_the_mix(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r["doc_id"]: r["taken"] for r in rows(mixing.report(docs))}
+    real = mixing.slots
+    monkeypatch.setattr(mixing, "slots", lambda plan, seed=0: real(plan, seed).where(F.col("id") % 2 == 0))
+    after = {r["doc_id"]: r["taken"] for r in rows(mixing.report(docs))}
+    assert abs(sum(after.values()) - sum(before.values()) / 2) < 0.05 * sum(before.values())
 
 
 def test_licenses(odd, none):
@@ -192,10 +348,71 @@ def test_licenses(odd, none):
     assert len(rows(licenses.report(odd))) == len(ODD) and rows(licenses.report(none)) == []
 
 
-def test_fuzzy_license(spark):
-    docs = spark.createDataFrame([(1, "intro Licensed under the really Apache License, Version 2.0 end"), (2, "permission is hereby granted")], "doc_id long, text string")
-    got = {r["doc_id"]: r["labels"] for r in rows(licenses.report(docs, min_share=0.7))}
-    assert got == {1: "apache-2.0", 2: ""}
+def _scan(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in rows(licenses.report(docs))}
+
+
+def test_op7_notices_at_production_values(spark):
+    """One word put in, left out or changed inside a notice; words that tell it from others; texts; no false spans."""
+    mit = licenses.TEXTS[0][0]
+    texts = [
+        "intro Licensed under the really Apache License, Version 2.0 end", "permission is hereby granted",
+        "under the under the under the under the under the", "the mit the mit the mit the mit", "released under the bsd license",
+        "It is released under our mit license now", "licensed under the gnu general public license version 2",
+        "Redistribution and use in source or binary forms, with or without modification, are permitted", "x " * 50 + mit, mit.replace("sublicense", "resell").replace("Software", "Program", 1),
+        "licensed under the gnu lesser general public license", "license general public", "released under the mit license " * 3,
+    ]
+    got = _scan(spark, texts)
+    assert [got[k]["labels"] for k in range(len(texts))] == [
+        "apache-2.0", "", "", "", "", "mit", "gpl", "bsd", "mit", "mit", "gpl,lgpl", "", "mit"]
+    assert got[6]["n_base"] == 1 and got[6]["first_word"] == 4 and got[12]["score"] == 1.0 and got[10]["score"] == 1.0
+
+
+def test_op7_equals_brute_force(spark):
+    """Base columns by regular expressions over words; labels by sliding every template over every text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [("All rights reserved. " * 3 + licenses.TEXTS[k][0] if k < 9 else licenses.NOTICES[k - 9][0]) for k in range(9 + len(licenses.NOTICES))]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + k, x) for k, x in enumerate(extra)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows(licenses.report(docs)):
+        w = ALNUM.findall((texts[r["doc_id"]] or "").translate(LOWER))
+        base = [(p, label) for phrase, label in licenses.PHRASES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        at = [p for p, _ in base]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(base), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in base}))
+        labels, score = {x for _, x in base}, 1.0 if base else 0.0
+        for _, phrase, label, k, own, keys in licenses.known():
+            if phrase:
+                continue
+            where = {}
+            for q in range(len(own) - k + 1):
+                where.setdefault(tuple(own[q : q + k]), []).append(q)
+            votes = {}
+            for p in range(len(w) - k + 1):
+                for q in where.get(tuple(w[p : p + k]), ()):
+                    votes.setdefault(p - q, set()).add(q)
+            for d in votes:
+                near = {x: votes[x] for x in range(d - 2, d + 3) if x in votes}
+                every = set().union(*near.values())
+                share = len({q + j for q in every for j in range(k)}) / len(own)
+                if max(near, key=lambda x: (len(near[x]), -x)) == d and share >= 0.8 and set(keys) <= every:
+                    labels.add(label)
+                    score = max(score, share)
+        assert r["labels"] == ",".join(sorted(labels)) and abs(r["score"] - score) < 1e-9
+
+
+def test_op7_base_columns_equal_sql(spark):
+    import duckdb
+
+    sql = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM '{SF}/documents.parquet'),
+      p AS (SELECT doc_id, i - 1 AS i, CASE WHEN w[i:i+1] = ['cc', 'by'] THEN 'cc-by' WHEN w[i:i+2] = ['general', 'public', 'license'] THEN 'gpl' WHEN w[i:i+2] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d))
+      SELECT d.doc_id, len(w) AS n_words, count(label) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+      FROM d LEFT JOIN (SELECT * FROM p WHERE label IS NOT NULL) USING (doc_id) GROUP BY ALL"""
+    want = {x[0]: x[1:] for x in duckdb.sql(sql).fetchall()}
+    got = rows(licenses.report(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got} == want
 
 
 def test_quality_rules(spark, odd, none):
@@ -234,6 +451,11 @@ def test_decontaminate(odd, none, items):
         want[r[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)] += 1
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
     assert sorted(r["doc_id"] for r in rows(decontaminate.decontaminate(odd, items))) == [1, 2, 3, 7]
+    cleaned = sorted(rows(decontaminate.without_spans(odd, items)), key=str)
+    assert len(cleaned) == len(ODD) and set(cleaned[0]) == set(odd.columns)
+    of = {r["doc_id"]: r["text"] for r in cleaned}
+    # A window is ten words of q1: of five words "some<k>" and as many "plain".
+    assert of[1] is None and of[6] == "" and of[7] == ODD[8][1] and of[4] == " ".join(PROSE.split()[:40] + PROSE.split()[80:])
     assert rows(decontaminate.report(none, items)) == [] and not any(r["contaminated"] for r in rows(decontaminate.report(odd, items.limit(0))))
 
 
@@ -248,7 +470,13 @@ def test_sharding(spark, odd, none, tmp_path):
     assert len(after["shards"]) < len(before["shards"]) and after["version"] > before["version"]
     assert sorted(r.id for r in store.read().collect()) == list(range(600)) == sorted(r.id for r in store.read(before["version"]).collect())
     with pytest.raises(RuntimeError, match="committed already"):
-        store.commit(after["version"], None, [])
+        store.commit(before, None, set(), [])
+    assert not store._save(f"{store.root}/versions/{after['version']:08d}.json", "{}")
+    assert all(s["bytes"] <= 4000 or s in before["shards"] for s in after["shards"]) and len({s["file"] for s in after["shards"]}) == len(after["shards"])
+    # A part that a commit does not change is kept by name.
+    parts = store.manifest()["parts"]
+    store.append(spark.range(3).coalesce(1), 10)
+    assert store.manifest()["parts"][: len(parts)] == parts and len(store.manifest()["parts"]) == len(parts) + 1
 
 
 def _chain(size, step, n):
@@ -291,12 +519,54 @@ def test_left_over_pairs_without_hubs(spark):
     from tessera.llm import lsh
     from pyspark.sql import functions as F
 
-    bucket = spark.range(1500).select(F.col("id").alias("node"), F.lit(1).alias("key").cast("long"), F.lit(1500).cast("long").alias("n"))
-    alike = lambda pairs: pairs.where("b - a = 750")
-    sketch = lambda nodes: nodes.select("node", (F.col("node") % 750).cast("string").cast("binary").alias("sketch"))
+    none = F.array(*[F.lit(0).cast("long")] * 4)
+    bucket = spark.range(1500).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("key"), F.lit(1500).cast("long").alias("n"), none.alias("sketch"))
+    asked = []
+    refuse = lambda pairs: asked.append(pairs.count()) or pairs.where("false")
+    sets = lambda nodes: nodes.select("node", (F.col("node") % 750).cast("string").cast("binary").alias("set"))
     close = lambda a, b: np.array(a, object)[:, None] == np.array(b, object)[None, :]
-    edges, roots = lsh.linked(bucket, alike, sketch, close)
-    assert edges.count() == 750 and {(r.node, r.root) for r in roots.collect()} == {(k, k % 750) for k in range(1500)}
+    roots = lsh.linked(bucket, lambda nodes: (refuse, sets), close, lambda a, b: a == b, 0)
+    root = {r.node: r.root for r in roots.collect()}
+    assert asked == [1499] and len(root) == 1500 and len(set(root.values())) == 750 and all(root[k] == root[k + 750] for k in range(750))
+
+
+def test_sketch_lanes_that_differ(spark):
+    from tessera.llm import lsh
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 63, (50, 60), dtype=np.uint64) for _ in range(2))
+    b[:, ::3] = a[:, ::3]
+    x, y = lsh.sketch(a), lsh.sketch(b)
+    df = spark.createDataFrame([(k, x[k].tolist(), y[k].tolist()) for k in range(50)], "k int, x array<long>, y array<long>")
+    want = ((a & np.uint64(15)) != (b & np.uint64(15))).sum(axis=1)
+    assert [r.d for r in df.select("k", lsh.differing(F.col("x"), F.col("y")).alias("d")).orderBy("k").collect()] == want.tolist()
+
+
+def test_components_equal_union_find(spark):
+    from tessera.llm.graph import components
+
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, 2100 - k) for k in range(100)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    named = {}
+    for r in got:
+        named.setdefault(r.root, set()).add(r.node)
+    want = {}
+    for x in root:
+        want.setdefault(find(x), set()).add(x)
+    assert sorted(map(sorted, named.values())) == sorted(map(sorted, want.values())) and all(k in v for k, v in named.items())
 
 
 def test_line_blocks_equal_exact_similarity():
@@ -304,7 +574,7 @@ def test_line_blocks_equal_exact_similarity():
     lines = ["".join(rng.choice(list("abcd "), int(rng.integers(1, 60)))) for _ in range(60)]
     lines += [x[: int(rng.integers(1, len(x) + 1))] + "q" * int(rng.integers(0, 3)) for x in lines]
     sets = [line_dedup._line_shingles(x) for x in lines]
-    drawn = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+    drawn = [s.tobytes() for s in sets]
     got = line_dedup._close(0.8, width=16)(drawn, drawn)
     want = np.array([[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets])
     assert (got == want).all()
@@ -321,9 +591,29 @@ def test_op1_bounded_sampling_equals_plain():
         assert (sampler.sample(hashes, weights) == value).all()
 
 
+def _line_roots(lines, width):
+    """Brute force: the components of lines by Jaccard similarity of at least 0.8."""
+    sets = [{x[k : k + width] for k in range(max(1, len(x) - width + 1))} if len(x) >= width else {x} for x in lines]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    size = np.array([len(s) for s in sets])
+    for a in range(len(lines)):
+        for b in np.flatnonzero((size[:a] >= 0.8 * size[a]) & (0.8 * size[:a] <= size[a])).tolist():
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (size[a] + size[b] - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(k) for k in range(len(lines))]
+
+
 def test_op3_short_edits_in_ordinary_lines(spark):
     """One letter or one word changed in lines of 40 to 120 characters: what brute force drops is dropped. The banding
-    finds a pair at similarity 0.8 with a chance of 0.995, so a line or two of the 82 may stay; no other line is dropped."""
+    finds a pair at similarity 0.8 with a chance of 0.99, so a line or two of the 82 may stay; no other line is dropped."""
     rng = np.random.default_rng(9)
     word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     lines = []
@@ -335,20 +625,39 @@ def test_op3_short_edits_in_ordinary_lines(spark):
         own = line.split()
         own[len(own) // 2] = word(len(own[len(own) // 2])).upper()
         lines.append(" ".join(own))
-    sets = [{x[k : k + 4] for k in range(len(x) - 3)} for x in lines]
-    root = list(range(len(lines)))
-    for a in range(len(lines)):
-        for b in range(a):
-            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = sorted((root[a], root[b]))
-                root = [x if r == y else r for r in root]
+    root = _line_roots(lines, line_dedup.SHINGLE)
     want = {k: root[k] != k for k in range(len(lines))}
-    assert all(want[k] for k in range(1, len(lines), 3)) and sum(want[k] for k in range(2, len(lines), 3)) >= 20
+    assert sum(want[k] for k in range(1, len(lines), 3)) >= 34 and sum(want[k] for k in range(2, len(lines), 3)) >= 15
     got = rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
     of = {r["doc_id"]: r["n_dropped"] == 1 for r in got}
     assert not [k for k in of if of[k] and not want[k]] and sum(want[k] and not of[k] for k in of) <= 2
 
 
+def test_op3_whole_query_equals_brute_force(spark):
+    """All documents of sf0.001, with their rows dealt by a shuffle into small partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    place, distinct = [], {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        for k, line in enumerate((r.text or "").split("\n")):
+            if line.strip():
+                place.append((r.doc_id, k, distinct.setdefault(line.strip(), len(distinct))))
+    root = _line_roots(list(distinct), line_dedup.SHINGLE)
+    first, want = {}, {r.doc_id: [] for r in docs.collect()}
+    for doc, k, node in place:
+        if first.setdefault(root[node], (doc, k)) != (doc, k):
+            want[doc].append(k)
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        dealt = docs.groupBy("doc_id").agg({"text": "first"}).withColumnRenamed("first(text)", "text")
+        got = {r["doc_id"]: r for r in rows(line_dedup.dedup_lines(dealt))}
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert sum(r["n_lines"] for r in got.values()) == len(place)
+    assert not [k for k in want if set(got[k]["dropped"]) - set(want[k])]
+    assert sum(len(set(want[k]) - set(got[k]["dropped"])) for k in want) <= 0.01 * sum(map(len, want.values())) + 1
+
+
 def test_op8_windows_that_share_forty_hash_bits(spark):
     """Two different windows whose hashes agree in 40 bits, by turns: each still counts as repeated."""
     from pyspark.sql import functions as F

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import cut, whole, written
-from tessera.llm.grams import passes, slots_of
 from tessera.llm.lsh import linked, shared_buckets, sketch
 
 SHINGLE = 5
@@ -41,6 +40,7 @@ _ENTRY = np.dtype([("h", np.uint64), ("w", np.float32)])
 #: inverse frequency, 99 in 100 hold with 0.25, 85 with 1 and 63 without damping (sf0.1).
 IDF_SHARE = 0.25
 SLOTS = 1 << 20
+MARKS = 1 << 23
 BLOCK = 1 << 14
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -310,6 +310,31 @@ def _verifier(texts: DataFrame, weights, threshold: float):
     return verify
 
 
+def _marks(nodes: DataFrame) -> bytes:
+    """A bit table of nodes, 1 MB whatever the corpus. Where it is crowded, more texts pass than needed and the join
+    drops them. At most MARKS / 64 rows reach the driver."""
+    slot = F.pmod(F.conv(F.substring(F.hex("node"), 1, 8), 16, 10).cast("long"), F.lit(MARKS))
+    words = nodes.select(slot.alias("s")).selectExpr("cast(s div 64 as int) AS w", "shiftleft(1L, cast(s % 64 as int)) AS b")
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(MARKS // 64, np.uint64)
+    table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return table.tobytes()
+
+
+def _picker(marks: bytes):
+    """text -> (node, text) of the texts whose node is marked, and few others."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(marks, np.uint64)
+        for batch in batches:
+            nodes = [hashlib.md5((t.as_py() or "").encode()).digest() for t in batch.column(0)]
+            slots = np.array([int.from_bytes(x[:4], "big") % MARKS for x in nodes], np.int64)
+            held = pa.array((table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0)], ["node", "text"]).filter(held)
+
+    return pick
+
+
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """((doc_id, node) of every row, (node, class_id, class_size, keeper, first) of every text)."""
     spark = docs.sparkSession
@@ -326,9 +351,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         sketches = signed.join(used, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
         def fetch(nodes: DataFrame):
-            # Few other texts than the nodes' pass the table, so few are shuffled.
-            mark = F.xxhash64("node")
-            few = texts.withColumn("node", node).where(passes(mark, slots_of(nodes.select(mark.alias("h")), "h")))
+            few = texts.mapInArrow(_picker(_marks(nodes)), "node binary, text string")
             near = cut(few.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
             return _verifier(near, weights, threshold), _sets(near, weights)
 

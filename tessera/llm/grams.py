@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots (bytes) of a membership table that travels with the tasks: about 16 for each window, between these bounds.
-SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
+#: Bounds of the slots (bytes) of a membership table, which travels with the tasks and stands in the plan's text.
+SLOTS, MOST_SLOTS = 1 << 14, 1 << 22
 
 
 def word_hashes(words: Column) -> Column:
@@ -19,12 +19,13 @@ def window_hash(hashes: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]) if k > 1 else F.get(hashes, i)
 
 
-def slots_of(windows: DataFrame, hash_col: str) -> bytes:
-    """The membership table of a window set: byte i is 1 if slot i is taken. At most MOST_SLOTS numbers reach the driver."""
+def slots_of(windows: DataFrame, hash_col: str, each: int = 16) -> bytes:
+    """The membership table of a window set, of about `each` slots a window: byte i is 1 if slot i is taken. At most
+    MOST_SLOTS numbers reach the driver."""
     n = windows.select(hash_col).distinct().count()
     if not n:
         return b""
-    size = min(MOST_SLOTS, max(SLOTS, 1 << (16 * n - 1).bit_length()))
+    size = min(MOST_SLOTS, max(SLOTS, 1 << (each * n - 1).bit_length()))
     flags = np.zeros(size, np.uint8)
     flags[windows.select(F.pmod(F.col(hash_col), F.lit(size)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()] = 1
     return flags.tobytes()

@@ -148,7 +148,7 @@ def spans(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     hashed = split.withColumn("_h", word_hashes(F.col("_w"))).withColumn("n_words", F.size("_w").cast("long"))
 
     def passing(k: int) -> Column:
-        at = probes(F.col("_h"), F.col("n_words"), k, [(k, slots_of(own.where(F.col("k") == k), "h"))])
+        at = probes(F.col("_h"), F.col("n_words"), k, [(k, slots_of(own.where(F.col("k") == k), "h", 256))])
         return F.transform(at, lambda p: F.struct(p.alias("p"), F.lit(k).alias("k"), F.array_join(F.slice("_w", p + 1, k), " ").alias("gram")))
 
     grams = F.concat(passing(SHORT), passing(LONG))

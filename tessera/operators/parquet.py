@@ -30,8 +30,9 @@ def scan(spark: SparkSession, path: str, footer: Footer) -> DataFrame:
         raise ValueError("BYTE_STREAM_SPLIT pages: set spark.sql.parquet.enableVectorizedReader=false")
     if any(c.compression in ("BROTLI", "LZO") for c in footer.columns):
         raise ValueError("BROTLI and LZO pages need a codec that Spark does not ship")
+    old = {c.name for c in footer.columns if c.parquet_type == "INT96"}  # Spark reads these as they are
     for field in footer.schema:
-        if str(field.type).startswith("timestamp[ns") and spark.conf.get("spark.sql.legacy.parquet.nanosAsLong", "false") != "true":
+        if field.name not in old and str(field.type).startswith("timestamp[ns") and spark.conf.get("spark.sql.legacy.parquet.nanosAsLong", "false") != "true":
             raise ValueError(f"{field.name}: nanosecond timestamps: set spark.sql.legacy.parquet.nanosAsLong=true")
     return spark.read.parquet(path)
 
@@ -66,8 +67,8 @@ def sample(df: DataFrame, footer: Footer, rows: int = SAMPLE_ROWS) -> DataFrame:
     return keyed.join(F.broadcast(wanted), ["_file", "_index"], "left_semi").drop("_file", "_index")
 
 
-def contract_column(name: str, kind: T.DataType, nulls: bool = True) -> Column | None:
-    """The column as the result contract has it; None where the contract has no data (nested and fixed-length)."""
+def contract_column(name: str, kind: T.DataType, nulls: bool = True, millis: bool = False) -> Column | None:
+    """The column as the result contract has it, times in the unit of the file (millis or micros); None where the contract has no data (nested and fixed-length)."""
     c = F.col(quoted(name))
     if isinstance(kind, T.BooleanType):
         c, dtype = c.cast("short"), "u1"
@@ -95,18 +96,25 @@ def contract_column(name: str, kind: T.DataType, nulls: bool = True) -> Column |
         c, dtype = F.make_valid_utf8(c.cast("string")), "string"
     else:
         return None
+    if millis and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.floor(c / 1000).cast("double")
     if nulls:
         fill = F.lit(SENTINELS[dtype])
         c = F.coalesce(c, {"u1": fill.cast("short"), "f4": fill.cast("float")}.get(dtype, fill))
     return c.alias(name)
 
 
-def contract_view(df: DataFrame, null_policy: str = "sentinel") -> DataFrame:
+def millis_columns(footer: Footer) -> frozenset[str]:
+    """Columns whose file keeps times in milliseconds."""
+    return frozenset(f.name for f in footer.schema if str(f.type).startswith("timestamp[ms"))
+
+
+def contract_view(df: DataFrame, null_policy: str = "sentinel", millis: frozenset[str] = frozenset()) -> DataFrame:
     """A projection: integers of 64 bits and times as doubles, booleans as 0 and 1, nulls as in-band sentinels
-    (null_policy='null' keeps them)."""
+    (null_policy='null' keeps them). Times are micros, those of the columns in `millis` milliseconds."""
     if null_policy not in ("sentinel", "null"):
         raise ValueError(f"null_policy {null_policy}")
-    made = [contract_column(f.name, f.dataType, null_policy == "sentinel") for f in df.schema]
+    made = [contract_column(f.name, f.dataType, null_policy == "sentinel", f.name in millis) for f in df.schema]
     return df.select(*[c for c in made if c is not None])
 
 
@@ -119,7 +127,7 @@ def summary(spark: SparkSession, path: str, footer: Footer, columns: list[str] |
     if len(footer.files) > 1:
         first = first.where(F.col("_metadata.file_name") == footer.files[0][0].rsplit("/", 1)[-1])
     ordered = first.select(F.col("_metadata.row_index").alias("_at"), "*")
-    shown = contract_view(project(ordered, ["_at", *names]))
+    shown = contract_view(project(ordered, ["_at", *names]), millis=millis_columns(footer))
     rows = sorted(shown.collect(), key=lambda r: r["_at"])
     has, out = set(shown.columns), []
     for pos, c in enumerate(c for c in footer.columns if c.name in names):

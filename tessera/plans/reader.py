@@ -82,7 +82,7 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     described = {c.name: {"parquetType": c.parquet_type, "encoding": c.encoding, "compression": c.compression, "dtype": c.dtype} for c in schema}
     df = df.select(*[F.col(ops.quoted(c)).alias(c, metadata=described.get(c, {})) for c in df.columns])
     if contract:
-        df = ops.contract_view(df, null_policy)
+        df = ops.contract_view(df, null_policy, ops.millis_columns(footer))
     returned = sum(min(ops.SAMPLE_ROWS, n) for _, groups in footer.files for n in groups) if sample else footer.row_count
     table = TableResult({"format": "parquet", "path": path}, footer.row_count, schema, df, {"rowGroups": footer.row_groups, "returnedRows": returned})
     if not inspect:

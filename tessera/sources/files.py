@@ -10,19 +10,33 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder in the storage that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def data_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[tuple[str, int]]:
-    """(uri, size) of a file, or of the data files right under a folder, by name."""
+    """(uri, size) of a file, or of the data files right under a folder and its partition folders (name=value), by name."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     status = fs.getFileStatus(p)
     if status.isFile():
         return [(status.getPath().toString(), status.getLen())]
-    inside = [s for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-    return sorted((s.getPath().toString(), s.getLen()) for s in inside if s.getPath().getName().endswith(suffix))
+    out, folders = [], [p]
+    while folders:
+        for s in fs.listStatus(folders.pop()):
+            name = s.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if s.isFile() and name.endswith(suffix):
+                out.append((s.getPath().toString(), s.getLen()))
+            elif s.isDirectory() and "=" in name:
+                folders.append(s.getPath())
+    return sorted(out)
 
 
 def read_range(spark: SparkSession, path: str, start: int, size: int) -> bytes:

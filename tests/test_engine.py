@@ -120,3 +120,21 @@ def test_helpers():
     assert value_text(None) == "null" and value_text(True) == "true" and value_text([1]) == "[1]"
     assert normalized("<f8") == "f8" and normalized("") == "unknown" and itemsize("<f4") == 4
     assert contract_dtype("INT64") == "f8" and contract_dtype("INT96") == "unknown"
+
+
+def test_times_in_the_unit_of_the_file(spark, tmp_path):
+    table = pa.table({"ms": pa.array([1000, None, -1], pa.timestamp("ms")), "us": pa.array([1000, None, -1], pa.timestamp("us"))})
+    pq.write_table(table, tmp_path / "t.parquet")
+    got = read(spark, f"{tmp_path}/t.parquet", contract=True, null_policy="null").df.collect()
+    assert [(r.ms, r.us) for r in got] == [(1000.0, 1000.0), (None, None), (-1.0, -1.0)]
+
+
+def test_int96_and_partitioned_folders(spark, tmp_path):
+    import datetime
+
+    at = datetime.datetime(2020, 1, 2, 3, 4, 5)
+    pq.write_table(pa.table({"t": pa.array([at], pa.timestamp("ns"))}), tmp_path / "old.parquet", use_deprecated_int96_timestamps=True)
+    assert [r.t.replace(tzinfo=None) for r in read(spark, f"{tmp_path}/old.parquet").df.collect()] == [at]
+    spark.range(10).selectExpr("id", "id % 3 AS k", "id % 2 AS j").write.partitionBy("k", "j").parquet(f"{tmp_path}/parts.parquet")
+    whole = read(spark, f"{tmp_path}/parts.parquet", "parquet")
+    assert whole.row_count == 10 and sorted((r.id, r.k, r.j) for r in whole.df.collect()) == [(i, i % 3, i % 2) for i in range(10)]

@@ -137,7 +137,9 @@ def _indexed(numbered: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 def taken_blocks(plan: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix: (shard, slot, _key, index): which block of which source fills each drawn slot."""
-    numbered = draws(plan, seed).select("shard", "_key", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("m") - 1)).alias("slot"))
+    # A row stands for up to SHARD_SLOTS slots: dealt out by number, since few bytes would else end in one task.
+    n = 4 * plan.sparkSession.sparkContext.defaultParallelism
+    numbered = draws(plan, seed).repartition(n, "shard", "_key").select("shard", "_key", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("m") - 1)).alias("slot"))
     return _indexed(numbered, plan, seed)
 
 

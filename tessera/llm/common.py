@@ -87,6 +87,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in own:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage now. Spark frees a broadcast, a shuffle or generated code only when what named
+    it has been collected, and asks for that every half hour; many short executions fill the driver long before."""
+    spark._jvm.System.gc()
 
 
 def written(spark: SparkSession, make) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, whole
+from tessera.llm.common import cut, release, whole
 from tessera.llm.label_model import posteriors
 from tessera.llm.quality_rules import rules, stats
 
@@ -128,6 +128,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float]:
     y = table["posterior"].to_numpy()
     up = y >= 0.5
     weight = np.where(up, sides[True] / max(1, up.sum()), sides[False] / max(1, (~up).sum()))
+    release(docs.sparkSession)
     return train(x, y, weight)
 
 

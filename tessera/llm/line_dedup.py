@@ -34,7 +34,8 @@ BINS = 64  # a power of two: the bin is the top bits of the hash; the first BAND
 #: Candidates may differ in so many of the BINS sketch lanes: at the threshold 12 +- 3 do, in short lines +- 6.
 MOST = 28
 #: Bits of the tables that mark which band keys are shared and which lines the verification needs: 4 MB, whatever the
-#: corpus. Where one is crowded, more passes than needed and the join drops it.
+#: corpus. A number sets two bits, of its lowest and its next 25. Where a table is crowded, more passes than needed and
+#: the join drops it.
 MARKS = 1 << 25
 SEEN = 200_000
 PIECE = 1 << 19
@@ -187,13 +188,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marks(numbers: DataFrame) -> np.ndarray:
     """The bit table of a column of numbers; at most MARKS / 64 rows reach the driver."""
     x = numbers.columns[0]
-    words = numbers.selectExpr(f"cast(pmod({x}, {MARKS}) div 64 as int) AS w", f"shiftleft(1L, cast(pmod({x}, {MARKS}) % 64 as int)) AS b")
+    slots = numbers.selectExpr(f"explode(array({x} & {MARKS - 1}L, shiftrightunsigned({x}, 25) & {MARKS - 1}L)) AS s")
+    words = slots.selectExpr("cast(s div 64 as int) AS w", "shiftleft(1L, cast(s % 64 as int)) AS b")
     table = np.zeros(MARKS // 64, np.uint64)
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return table
 
 
+def _marked(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit numbers may be in the table; none that is in it is missed."""
+    held = np.ones(len(numbers), bool)
+    for slots in (numbers & (MARKS - 1), (numbers >> 25) & (MARKS - 1)):
+        held &= (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return held
+
+
 def _shared_bands(lines: DataFrame) -> DataFrame:
     """Distinct (node, key) rows, all of the keys that several lines share among them. Only counts of keys are shuffled
     for all lines; few others pass the table of the keys that come more than once."""
@@ -204,8 +214,7 @@ def _shared_bands(lines: DataFrame) -> DataFrame:
         table = marks.value
         for batch in batches:
             keys = batch.column(1).flatten().to_numpy()
-            slots = keys & (MARKS - 1)
-            held = (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            held = _marked(table, keys)
             nodes = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(nodes[held]), pa.array(keys[held])], ["node", "key"])
 
@@ -221,8 +230,7 @@ def _sketches(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = marks.value
         for batch in batches:
-            slots = batch.column(0).to_numpy() & (MARKS - 1)
-            yield batch.filter(pa.array((table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            yield batch.filter(pa.array(_marked(table, batch.column(0).to_numpy())))
 
     held = lines.where("size(sketch) > 0").select("node", "sketch").mapInArrow(pick, "node long, sketch array<long>")
     out = cut(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
@@ -237,17 +245,14 @@ def _needed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = marks.value, set()
         for batch in batches:
+            lines = [x for text in batch.column(0) for x in map(str.strip, text.as_py().split("\n")) if x]
+            hashes = [line_hash(x) for x in lines]
             found: dict[int, str] = {}
-            for text in batch.column(0):
-                for line in text.as_py().split("\n"):
-                    line = line.strip()
-                    if line:
-                        node = line_hash(line)
-                        slot = node % MARKS
-                        if node not in seen and int(table[slot >> 6]) >> (slot & 63) & 1:
-                            found[node] = line
-                            if len(seen) < SEEN:
-                                seen.add(node)
+            for k in np.flatnonzero(_marked(table, np.array(hashes, np.int64))).tolist():
+                if hashes[k] not in seen:
+                    found[hashes[k]] = lines[k]
+                    if len(seen) < SEEN:
+                        seen.add(hashes[k])
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["node", "text"])
 
     picked = docs.select(whole().alias("text")).mapInArrow(pick, "node long, text string")
@@ -287,22 +292,11 @@ def _line_shingles(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(codes, min(SHINGLE, len(codes))))
 
 
-def _sets(texts: DataFrame):
-    """nodes -> (node, set): all shingle hashes of the node's line."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drawn = [_line_shingles(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "set"])
-
-    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, set binary")
-
-
 def _same(threshold: float):
     """Whether two sets reach the threshold."""
 
-    def same(a: bytes, b: bytes) -> bool:
-        return _holds(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold)
+    def same(x: np.ndarray, y: np.ndarray) -> bool:
+        return _holds(x, y, threshold)
 
     return same
 
@@ -317,8 +311,8 @@ def _holds(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 def _close(threshold: float, width: int = 2048):
     """Lines whose shared shingles are enough, counted by matrix products over `width` shingles at a time."""
 
-    def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        (x, i), (y, j) = ((np.frombuffer(b"".join(s), np.uint64), np.repeat(np.arange(len(s)), [len(v) // 8 for v in s])) for s in (a, b))
+    def close(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        (x, i), (y, j) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (a, b))
         both = np.zeros((len(a), len(b)), np.float32)
         known = np.intersect1d(x, y)
         for lo in range(0, len(known), width):
@@ -353,9 +347,9 @@ def line_classes(given: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
         def fetch(nodes: DataFrame):
             texts = _needed(given, nodes)
-            return _verifier(texts, threshold), _sets(texts)
+            return _verifier(texts, threshold), texts
 
-        roots = linked(cut(shared.join(_sketches(lines, used), "node")), fetch, _close(threshold), _same(threshold), MOST)
+        roots = linked(cut(shared.join(_sketches(lines, used), "node")), fetch, _line_shingles, _close(threshold), _same(threshold), MOST, char_bytes=8)
         own, sums = (lines.where(x).select("row", "doc_id", "line", "node") for x in ("line >= 0", "line < 0"))
         classed = own.join(roots, "node", "left").select("row", "doc_id", "line", F.coalesce("root", "node").alias("root"))
         return classed.union(sums)

@@ -45,35 +45,37 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return bands.join(many, "key")
 
 
-#: Pairs (a, b) -> those that hold; and nodes -> (node, set), the whole set of a node as bytes.
-Texts = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]
+#: Pairs (a, b) -> those that hold; and the written rows (node, text).
+Texts = tuple[Callable[[DataFrame], DataFrame], DataFrame]
 
 
 def linked(
-    rows: DataFrame, fetch: Callable[[DataFrame], Texts], close: Callable[[list[bytes], list[bytes]], np.ndarray],
-    same: Callable[[bytes, bytes], bool], most: int,
+    rows: DataFrame, fetch: Callable[[DataFrame], Texts], draw: Callable[[str], np.ndarray], close: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray],
+    same: Callable[[np.ndarray, np.ndarray], bool], most: int, char_bytes: int,
 ) -> DataFrame:
     """(node, root) of the nodes that have links: the components of all links between nodes that share a bucket.
 
     rows: (node, key, n, sketch), of shared_buckets(), written. Pairs whose sketches differ in more than `most` lanes are
-    no candidates. fetch: called once with the nodes that verification may need. close: two lists of sets -> matrix of
-    the pairs that may hold, none missed. same: whether two sets hold.
+    no candidates. fetch: called once with the nodes that verification may need. draw: text -> its whole set, of about
+    `char_bytes` bytes a character. close: two lists of sets -> matrix of the pairs that may hold, none missed. same:
+    whether two sets hold.
 
     Small buckets give all pairs. In a larger bucket every member is paired with the bucket's hub (the member whose
     buckets are fullest) and with the hub of the members that also share its fullest other bucket: two rows a member
     instead of n/2. What these links leave, the pairs of different components in a large bucket, is then compared by
     whole sets, block by block and without making rows of the pairs; a block gives only the links that unite components
     in it. So no pair that shares a bucket stays untried unless its ends are in one component by then, where a link adds
-    nothing. Whole sets are fetched only of nodes whose sketch is near one of another component in their bucket.
+    nothing. Blocks get the texts only of nodes whose sketch is near one of another component in their bucket, and draw
+    the sets themselves: texts are smaller and compress.
     """
-    return written(rows.sparkSession, lambda: _linked(rows, fetch, close, same, most))
+    return written(rows.sparkSession, lambda: _linked(rows, fetch, draw, close, same, most, char_bytes))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def _linked(rows, fetch, close, same, most) -> DataFrame:
+def _linked(rows, fetch, draw, close, same, most, char_bytes) -> DataFrame:
     small = rows.where(F.col("n") <= SMALL)
     other = small.select("key", F.col("node").alias("other"), F.col("sketch").alias("_other"))
     near = small.join(other, (small["key"] == other["key"]) & (F.col("node") < F.col("other")) & (differing(F.col("sketch"), F.col("_other")) <= most))
@@ -91,12 +93,12 @@ def _linked(rows, fetch, close, same, most) -> DataFrame:
             pairs = pairs.union(_pairs(star.select("node", F.col("hub.node").alias("other"))))
     pairs = cut(pairs.distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    verify, sets = fetch(cut((nodes.union(big.select("node")) if has_big else nodes).distinct()))
+    verify, texts = fetch(cut((nodes.union(big.select("node")) if has_big else nodes).distinct()))
     roots = components(cut(verify(pairs)))
     if has_big:
         rest = _near_others(big, roots, most)
         if rest.limit(1).count():
-            found = cut(_left_over(rest, sets, close, same))
+            found = cut(_left_over(rest, texts, draw, close, same, char_bytes))
             if found.limit(1).count():
                 roots = _united(roots, found)
     return roots
@@ -131,11 +133,10 @@ def _near_others(big: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return cut(rest.drop("sketch").join(live[0].union(live[1]).distinct(), ["key", "node"], "left_semi"))
 
 
-def _left_over(rest: DataFrame, sets, close, same) -> DataFrame:
+def _left_over(rest: DataFrame, texts: DataFrame, draw, close, same, char_bytes: int) -> DataFrame:
     """Links (a, b) that unite different components of one large bucket, found by whole sets in blocks; at most one link
     a member leaves a block."""
-    drawn = cut(sets(rest.select("node").distinct()))
-    sized = rest.join(drawn.select("node", F.length("set").alias("bytes")), "node")
+    sized = rest.join(texts.select("node", (F.length("text") * char_bytes).alias("bytes")), "node")
 
     def blocks(rows, size):
         return F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_BYTES))
@@ -149,10 +150,18 @@ def _left_over(rest: DataFrame, sets, close, same) -> DataFrame:
 
     def compare(block: pa.Table) -> pa.Table:
         asks = block["asks"].to_numpy()
-        nodes, roots, drawn = (block[c].to_pylist() for c in ("node", "root", "set"))
+        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        of = block.schema.field("node").type
+        if not len(one) or not len(two):
+            return pa.table({c: pa.array([], of) for c in ("node", "other")})
+        nodes, roots = (block[c].to_pylist() for c in ("node", "root"))
+        sets: dict = {}  # a node may stand on both sides
+        for node, text in zip(nodes, block["text"], strict=True):
+            if node not in sets:
+                sets[node] = draw(text.as_py())
+        drawn = [sets[x] for x in nodes]
         index: dict = {}
         root = [index.setdefault(r, len(index)) for r in roots]
-        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
         may = close([drawn[k] for k in one], [drawn[k] for k in two])
         up = list(range(len(index)))
 
@@ -167,10 +176,9 @@ def _left_over(rest: DataFrame, sets, close, same) -> DataFrame:
             if x != y and same(drawn[one[i]], drawn[two[j]]):
                 up[x] = y
                 out.append((nodes[one[i]], nodes[two[j]]))
-        of = block.schema.field("node").type
         return pa.table({"node": pa.array([a for a, _ in out], of), "other": pa.array([b for _, b in out], of)})
 
-    found = asks.union(told).join(drawn, "node").groupBy("key", "i", "j").applyInArrow(compare, f"node {kind}, other {kind}")
+    found = asks.union(told).join(texts.select("node", "text"), "node").groupBy("key", "i", "j").applyInArrow(compare, f"node {kind}, other {kind}")
     return _pairs(found).distinct()
 
 

@@ -220,28 +220,22 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
     return texts.mapInArrow(sign, "node binary, keys array<long>, sketch array<long>")
 
 
-def _sets(texts: DataFrame, weights):
-    """nodes -> (node, set): all shingles of the node's text, as hash and weight."""
+def _drawer(weights):
+    """text -> all its shingles, as hash and weight."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        for batch in batches:
-            drawn = []
-            for text in batch.column(1):
-                hashes, counts = shingles(text.as_py())
-                own = np.empty(len(hashes), _ENTRY)
-                own["h"], own["w"] = hashes, w.of(hashes, counts)
-                drawn.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["node", "set"])
+    def draw(text: str) -> np.ndarray:
+        hashes, counts = shingles(text)
+        own = np.empty(len(hashes), _ENTRY)
+        own["h"], own["w"] = hashes, weights.value.of(hashes, counts)
+        return own
 
-    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node binary, set binary")
+    return draw
 
 
 def _same(threshold: float):
     """Whether two sets reach the threshold."""
 
-    def same(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, _ENTRY), np.frombuffer(b, _ENTRY)
+    def same(x: np.ndarray, y: np.ndarray) -> bool:
         return _holds(x["h"], x["w"], float(x["w"].sum()), y["h"], y["w"], float(y["w"].sum()), threshold)
 
     return same
@@ -257,8 +251,8 @@ def _close(threshold: float, width: int = 2048):
     """Pairs whose similarity may reach the threshold. The root of a product of weights is at least the lesser of them,
     so a matrix product bounds what two texts share from above and no pair is missed."""
 
-    def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        (x, i), (y, j) = ((np.frombuffer(b"".join(s), _ENTRY), np.repeat(np.arange(len(s)), [len(v) // _ENTRY.itemsize for v in s])) for s in (a, b))
+    def close(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        (x, i), (y, j) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (a, b))
         both = np.zeros((len(a), len(b)), np.float32)
         known = np.intersect1d(x["h"], y["h"])
         for lo in range(0, len(known), width):
@@ -353,9 +347,9 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         def fetch(nodes: DataFrame):
             few = texts.mapInArrow(_picker(_marks(nodes)), "node binary, text string")
             near = cut(few.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-            return _verifier(near, weights, threshold), _sets(near, weights)
+            return _verifier(near, weights, threshold), near
 
-        roots = linked(cut(shared.join(sketches, "node")), fetch, _close(threshold), _same(threshold), MOST)
+        roots = linked(cut(shared.join(sketches, "node")), fetch, _drawer(weights), _close(threshold), _same(threshold), MOST, char_bytes=2)
         firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
         named = cut(firsts.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
         weights.destroy()

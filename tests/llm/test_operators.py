@@ -523,9 +523,9 @@ def test_left_over_pairs_without_hubs(spark):
     bucket = spark.range(1500).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("key"), F.lit(1500).cast("long").alias("n"), none.alias("sketch"))
     asked = []
     refuse = lambda pairs: asked.append(pairs.count()) or pairs.where("false")
-    sets = lambda nodes: nodes.select("node", (F.col("node") % 750).cast("string").cast("binary").alias("set"))
+    texts = lambda nodes: nodes.select("node", (F.col("node") % 750).cast("string").alias("text"))
     close = lambda a, b: np.array(a, object)[:, None] == np.array(b, object)[None, :]
-    roots = lsh.linked(bucket, lambda nodes: (refuse, sets), close, lambda a, b: a == b, 0)
+    roots = lsh.linked(bucket, lambda nodes: (refuse, texts(nodes)), int, close, lambda a, b: a == b, 0, 1)
     root = {r.node: r.root for r in roots.collect()}
     assert asked == [1499] and len(root) == 1500 and len(set(root.values())) == 750 and all(root[k] == root[k + 750] for k in range(750))
 
@@ -574,12 +574,18 @@ def test_line_blocks_equal_exact_similarity():
     lines = ["".join(rng.choice(list("abcd "), int(rng.integers(1, 60)))) for _ in range(60)]
     lines += [x[: int(rng.integers(1, len(x) + 1))] + "q" * int(rng.integers(0, 3)) for x in lines]
     sets = [line_dedup._line_shingles(x) for x in lines]
-    drawn = [s.tobytes() for s in sets]
-    got = line_dedup._close(0.8, width=16)(drawn, drawn)
+    got = line_dedup._close(0.8, width=16)(sets, sets)
     want = np.array([[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets])
     assert (got == want).all()
 
 
+def test_marks_miss_no_number(spark):
+    numbers = [0, -1, -(1 << 63), (1 << 63) - 1, *np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()]
+    table = line_dedup._marks(spark.createDataFrame([(x,) for x in numbers], "node long"))
+    assert line_dedup._marked(table, np.array(numbers)).all()
+    assert line_dedup._marked(table, np.random.default_rng(9).integers(-(1 << 63), (1 << 63) - 1, 100_000)).sum() < 20
+
+
 def test_op1_bounded_sampling_equals_plain():
     rng = np.random.default_rng(5)
     sampler = near_dedup.Sampler(60)

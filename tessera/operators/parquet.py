@@ -67,6 +67,13 @@ def sample(df: DataFrame, footer: Footer, rows: int = SAMPLE_ROWS) -> DataFrame:
     return keyed.join(F.broadcast(wanted), ["_file", "_index"], "left_semi").drop("_file", "_index")
 
 
+def first_by(df: DataFrame, column: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The first rows of the whole table in order of a column, nulls last, ties in file order, however its row groups lie.
+    df: a scan, not yet projected."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    return df.orderBy(F.col(quoted(column)).asc_nulls_last(), *place).limit(rows)
+
+
 def contract_column(name: str, kind: T.DataType, nulls: bool = True, millis: bool = False) -> Column | None:
     """The column as the result contract has it, times in the unit of the file (millis or micros); None where the contract has no data (nested and fixed-length)."""
     c = F.col(quoted(name))

@@ -64,7 +64,7 @@ def parquet_contract_lineitem(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 5")
 def parquet_sample_events(spark, sf_dir):
-    return read(spark, _path(sf_dir, "events"), sample=True, columns=["event_id", "user_id", "event_type"]).df
+    return read(spark, _path(sf_dir, "events"), sample=True, sample_by="event_id", columns=["event_id", "user_id", "event_type"]).df
 
 
 @query("SELECT * FROM region")

@@ -71,11 +71,12 @@ def read_npz(spark: SparkSession, path: str) -> BundleResult:
     return BundleResult({"format": "npz", "path": path}, [m.name for m in found], arrays, spark.read.format("npz").load(path), {"entryCount": len(found)})
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, sample: bool = False, inspect: bool = False, contract: bool = False, on_missing: str = "ignore", null_policy: str = "sentinel") -> TableResult | InspectionResult:
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, sample: bool = False, inspect: bool = False, contract: bool = False, on_missing: str = "ignore", null_policy: str = "sentinel", sample_by: str | None = None) -> TableResult | InspectionResult:
+    """sample: the first rows of each row group, or with sample_by those of the whole table in order of that column."""
     footer = read_footer(spark, path)
     df = ops.scan(spark, path, footer)
     if sample:
-        df = ops.sample(df, footer)
+        df = ops.first_by(df, sample_by) if sample_by else ops.sample(df, footer)
     df = ops.project(df, columns, on_missing)
     names = set(df.columns)
     schema = [c for c in footer.columns if c.name in names]
@@ -83,14 +84,15 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     df = df.select(*[F.col(ops.quoted(c)).alias(c, metadata=described.get(c, {})) for c in df.columns])
     if contract:
         df = ops.contract_view(df, null_policy, ops.millis_columns(footer))
-    returned = sum(min(ops.SAMPLE_ROWS, n) for _, groups in footer.files for n in groups) if sample else footer.row_count
+    parts = [footer.row_count] if sample_by else [n for _, groups in footer.files for n in groups]
+    returned = sum(min(ops.SAMPLE_ROWS, n) for n in parts) if sample else footer.row_count
     table = TableResult({"format": "parquet", "path": path}, footer.row_count, schema, df, {"rowGroups": footer.row_groups, "returnedRows": returned})
     if not inspect:
         return table
     return InspectionResult({"rowCount": footer.row_count, "rowGroups": footer.row_groups, "schema": schema}, table, ops.summary(spark, path, footer, columns))
 
 
-_OPTIONS = {"columns": "columns", "sample": "sample", "inspect": "inspect", "contract": "contract", "on_missing": "on_missing", "null_policy": "null_policy"}
+_OPTIONS = {"columns": "columns", "sample": "sample", "inspect": "inspect", "contract": "contract", "on_missing": "on_missing", "null_policy": "null_policy", "sample_by": "sample_by"}
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, **config: object) -> TableResult | ArrayResult | BundleResult | InspectionResult:

@@ -138,3 +138,17 @@ def test_int96_and_partitioned_folders(spark, tmp_path):
     spark.range(10).selectExpr("id", "id % 3 AS k", "id % 2 AS j").write.partitionBy("k", "j").parquet(f"{tmp_path}/parts.parquet")
     whole = read(spark, f"{tmp_path}/parts.parquet", "parquet")
     assert whole.row_count == 10 and sorted((r.id, r.k, r.j) for r in whole.df.collect()) == [(i, i % 3, i % 2) for i in range(10)]
+
+
+def test_sample_in_order_of_a_column_over_row_groups(spark, tmp_path):
+    events = pq.read_table(f"{SF}/events.parquet")
+    backwards = events.take(pa.array(range(events.num_rows - 1, -1, -1)))
+    (tmp_path / "sf").mkdir()
+    pq.write_table(backwards, tmp_path / "sf" / "events.parquet", row_group_size=100)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/sf/events.parquet'")
+    want = con.execute(catalog.oracle_sql()["parquet_sample_events"]).fetchall()
+    assert [tuple(r) for r in catalog.queries()["parquet_sample_events"](spark, f"{tmp_path}/sf").collect()] == want
+    pq.write_table(pa.table({"k": [None, 3, 1, 2, 1, None, 0], "v": range(7)}), tmp_path / "k.parquet", row_group_size=2)
+    r = read(spark, f"{tmp_path}/k.parquet", sample=True, sample_by="K", columns=["v"])
+    assert [x.v for x in r.df.collect()] == [6, 2, 4, 3, 1] and r.metadata["returnedRows"] == 5

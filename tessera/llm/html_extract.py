@@ -13,9 +13,9 @@ else the element is the article.
 
 Null html gives an empty text. A null or malformed url has no host; such pages are neighbours only of each other. A page
 alone in its host loses no lines to differencing. Repeated rows are separate copies. An empty table gives an empty
-result. Columns other than page_id, url and html are ignored. Tokenising takes time in proportion to the page; of a line
-that a page repeats more than REPEATS times, the n-th is aligned with the n-th of the other page only, so long runs of
-equal lines cost no more than others. The result depends on the ranges in one case: where copies reach over the edge of
+result. Columns other than page_id, url and html are ignored. Tokenising takes time in proportion to the page. The common
+subsequence is a longest one however often lines repeat: where few pairs of lines match it takes time in proportion to
+them, else a bit for each pair of lines left between the pages' equal heads and tails. The result depends on the ranges in one case: where copies reach over the edge of
 a range, the page beyond them is not seen.
 """
 
@@ -25,7 +25,9 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,10 @@ _OUTSIDE = set(
     " promo related search share sharing sidebar social sponsor sponsors subscribe toolbar topbar".split()
 )
 PLAIN, MAIN, CLUTTER = 0, 1, 2
-REPEATS = 8
+#: Matching pairs for a line of the page, beyond which pages are aligned by rows of bits.
+PAIRS = 8
+#: Bits of remembered rows of matches; others are made again.
+MASK_BITS = 1 << 28
 
 
 def _tokens(html: str) -> Iterator[tuple[str, str]]:
@@ -158,23 +163,17 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b (Hunt and Szymanski: over matching pairs only). Lines found
-    more than REPEATS times match by their number."""
+    """Positions in a of a longest common subsequence with b: over matching pairs (Hunt and Szymanski), or over rows of
+    bits where there are more than PAIRS of them for a line of a."""
     where: dict[str, list[int]] = {}
     for j, line in enumerate(b):
         where.setdefault(line, []).append(j)
-    times: dict[str, int] = {}
-    for line in a:
-        times[line] = times.get(line, 0) + 1
-    seen: dict[str, int] = {}
+    if sum(len(where.get(line, ())) for line in a) > PAIRS * len(a):
+        return _common_dense(a, b)
     ends: list[int] = []
     nodes: list[tuple] = []
     for i, line in enumerate(a):
-        at = where.get(line, [])
-        if len(at) > REPEATS or times[line] > REPEATS:
-            n = seen[line] = seen.get(line, -1) + 1
-            at = at[n : n + 1]
-        for j in reversed(at):
+        for j in reversed(where.get(line, ())):
             k = bisect_left(ends, j)
             node = (i, nodes[k - 1] if k else None)
             if k == len(ends):
@@ -189,6 +188,61 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _common_dense(a: list[str], b: list[str]) -> set[int]:
+    """The same where many lines repeat. Equal heads and tails belong to a longest common subsequence. Of the rest, row i
+    is a number whose bit j is 0 where the subsequence with a[: i + 1] grows at b[j] (Hyyro); about the root of the rows
+    are kept, and those between are made again on the way back."""
+    head, tail, most = 0, 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = {*range(head), *range(len(a) - tail, len(a))}
+    here, there = set(a[head : len(a) - tail]), set(b[head : len(b) - tail])
+    rows = [i for i in range(head, len(a) - tail) if a[i] in there]
+    right = [line for line in b[head : len(b) - tail] if line in here]
+    if not rows:
+        return out
+    size = len(right)
+    full = (1 << size) - 1
+    where: dict[str, list[int]] = {}
+    for j, line in enumerate(right):
+        where.setdefault(line, []).append(j)
+    masks: dict[str, int] = {}
+
+    def mask(line: str) -> int:
+        if line in masks:
+            return masks[line]
+        bits = np.zeros(size, bool)
+        bits[where[line]] = True
+        made = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if len(masks) * size < MASK_BITS:
+            masks[line] = made
+        return made
+
+    def after(row: int, i: int) -> int:
+        both = row & mask(a[i])
+        return ((row + both) | (row - both)) & full
+
+    step = isqrt(len(rows)) + 1
+    kept, row = [], full
+    for n, i in enumerate(rows):
+        if n % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    j = (row ^ full).bit_length() - 1
+    for lo in range((len(kept) - 1) * step, -1, -step):
+        block = [kept[lo // step]]
+        part = rows[lo : lo + step]
+        for i in part[:-1]:
+            block.append(after(block[-1], i))
+        for i, before in zip(reversed(part), reversed(block), strict=True):
+            if j >= 0 and a[i] == right[j]:
+                out.add(i)
+                j = ((before ^ full) & ((1 << j) - 1)).bit_length() - 1
+    return out
+
+
 def article(lines: list[tuple[int, str]], partner: list[tuple[int, str]] | None) -> tuple[str, int, int]:
     """(text, lines outside the main element that the partner shares, lines that go for their markup alone)."""
     shared = common_lines([x for _, x in lines], [x for _, x in partner]) if partner else set()

@@ -171,6 +171,36 @@ def test_op4_hostile_pages_take_linear_time():
     assert time.time() - began < 20
 
 
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_op4_repeated_lines_align_by_a_longest_common_subsequence():
+    import random
+    import time
+
+    draw = random.Random(7)
+    for n in range(300):
+        letters = "abcdefghij"[: 1 + n % 10]
+        a, b = ([draw.choice(letters) for _ in range(draw.randrange(70))] for _ in range(2))
+        for own in (html_extract.common_lines(a, b), html_extract._common_dense(a, b)):
+            assert len(own) == _lcs(a, b)
+            at = iter(b)
+            assert all(a[k] in at for k in sorted(own))  # in order in b
+    more, site = "<div>More</div>", "".join(f"<div>Part {k}</div>" for k in range(10))
+    assert _text(more * 5 + site + more * 5 + "<p>Body a</p>", site + more * 5 + "<p>Body b</p>") == "More\n" * 5 + "Body a"
+    began = time.time()
+    a, b = ["x", "y", "z"] * 7_000 + ["x"], ["y", "x"] * 10_000
+    assert len(html_extract.common_lines(a, b)) >= 14_000
+    assert time.time() - began < 10
+
+
 def test_op4_equals_brute_force_whatever_the_ranges(spark):
     """A host without <article>, with copies side by side, over many ranges: each page against its nearest neighbours."""
     body = "<div>Site {h}</div><div>{k} own line</div><p>passage {m}</p><div>Bottom {h}</div>"

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, whole, written
-from tessera.llm.lsh import linked, shared_buckets, sketch
+from tessera.llm.lsh import WORDS, linked, shared_buckets, sketch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,10 +34,12 @@ BANDS, ROWS = 12, 5
 BINS = 64  # a power of two: the bin is the top bits of the hash; the first BANDS * ROWS bins are used
 #: Candidates may differ in so many of the BINS sketch lanes: at the threshold 12 +- 3 do, in short lines +- 6.
 MOST = 28
-#: Bits of the tables that mark which band keys are shared and which lines the verification needs: 4 MB, whatever the
-#: corpus. A number sets two bits, of its lowest and its next 25. Where a table is crowded, more passes than needed and
-#: the join drops it.
+#: Bits of the table that marks which lines the verification needs: 4 MB, whatever the corpus. A number sets two bits, of
+#: its lowest and its next 25. Where a table is crowded, more passes than needed and the join drops it. The tables of
+#: shared keys and repeated lines have so many bits, or SLICE_BITS for each slice if that is more.
 MARKS = 1 << 25
+SLICE_BITS = 1 << 16
+CHUNK = 1 << 20
 SEEN = 200_000
 PIECE = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFF)
@@ -80,8 +83,10 @@ def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     h = codes[:n].astype(np.uint64)
     for k in range(1, width):
-        h = h * _P + codes[k : n + k]
-    return _mix(h * _P)
+        h *= _P
+        h += codes[k : n + k]
+    h *= _P
+    return _mix(h)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -91,20 +96,20 @@ def signatures(lines: list[str]) -> np.ndarray:
 
     def add(codes: np.ndarray, owner: np.ndarray, width: int) -> None:
         h = _short_hashes(codes, width)
-        own = owner[: len(h)] == owner[width - 1 :]  # inside one line
-        h, at = h[own], owner[: len(own)][own]
-        np.minimum.at(flat, at * BINS + (h >> np.uint32(32 - BINS.bit_length() + 1)), h)
+        own = np.flatnonzero(owner[: len(h)] == owner[width - 1 :])  # inside one line
+        h = h[own]
+        np.minimum.at(flat, owner[own] + (h >> np.uint32(32 - BINS.bit_length() + 1)), h)
 
     long = [k for k, x in enumerate(lines) if len(x) >= SHINGLE]
     sizes = [len(lines[k]) for k in long]
     if long:
         codes = np.frombuffer("".join([lines[k] for k in long]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.array(long, np.int64), sizes)
+        owner = np.repeat(np.array(long, np.int64) * BINS, sizes)  # the place of its first bin
         for lo in range(0, len(codes), PIECE):  # pieces overlap by a shingle less one
             add(codes[lo : lo + PIECE + SHINGLE - 1], owner[lo : lo + PIECE + SHINGLE - 1], SHINGLE) if len(codes) - lo >= SHINGLE else None
     for k, x in enumerate(lines):
         if len(x) < SHINGLE:
-            add(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), np.full(len(x), k), len(x))
+            add(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), np.full(len(x), k * BINS), len(x))
     out = least.astype(np.uint64)
     full = out.copy()
     hollow = np.flatnonzero((out == _EMPTY).any(axis=1))
@@ -137,26 +142,46 @@ def _lists(rows: np.ndarray, fresh: list[bool]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh)]) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
 
-_LINES = "row long, doc_id long, line int, node long, keys array<long>, sketch array<long>"
+_LINES = "row long, doc_id long, line int, node long, signed binary"
+_PICKED = "row long, doc_id long, line int, node long, keys array<long>, sketch array<long>"
+
+
+def _signed(full: np.ndarray, fresh: list[bool]) -> pa.Array:
+    """Keys and sketch as bytes at each place that is fresh, none at the others."""
+    ends = np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32) * np.int32(8 * (BANDS + WORDS))
+    data = np.ascontiguousarray(np.hstack([band_keys(full), sketch(full)]))
+    return pa.Array.from_buffers(pa.binary(), len(fresh), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _read_signed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places are fresh, and their keys and sketches."""
+    column = column.cast(pa.binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset)
+    fresh = ends[1:] > ends[:-1]
+    count = fresh.sum() * (BANDS + WORDS)
+    both = np.frombuffer(data, np.int64, count, int(ends[0])) if count else np.empty(0, np.int64)
+    both = both.reshape(-1, BANDS + WORDS)
+    return fresh, both[:, :BANDS], both[:, BANDS:]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) -> (row, doc_id, line, node, keys, sketch); the last two only where the task meets a line
-    first. After its lines, each row of docs has one of line -1, whose node is the number of its lines."""
+    """(row, doc_id, text) -> (row, doc_id, line, node, signed); the last only where the task meets a line first. After
+    its lines, each row of docs has one of line -1, whose node is the number of its lines."""
     seen: set[int] = set()
 
     def flush(rows, docs, at, nodes, fresh, lines):
         full = signatures(lines) if lines else np.empty((0, BINS), np.uint64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), _lists(band_keys(full), fresh), _lists(sketch(full), fresh)],
-            ["row", "doc_id", "line", "node", "keys", "sketch"],
+            [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), _signed(full, fresh)],
+            ["row", "doc_id", "line", "node", "signed"],
         )
 
     rows, docs, at, nodes, fresh, lines, size = [], [], [], [], [], [], 0
     for batch in batches:
-        for row, doc, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            row, doc, n = row.as_py(), doc.as_py(), 0
-            for k, line in enumerate(text.as_py().split("\n")):
+        for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            n = 0
+            for k, line in enumerate(text.split("\n")):
                 line = line.strip()
                 if not line:
                     continue
@@ -204,37 +229,125 @@ def _marked(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return held
 
 
-def _shared_bands(lines: DataFrame) -> DataFrame:
-    """Distinct (node, key) rows, all of the keys that several lines share among them. Only counts of keys are shuffled
-    for all lines; few others pass the table of the keys that come more than once."""
-    twice = lines.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    marks = lines.sparkSession.sparkContext.broadcast(_marks(twice))
+def _places(values: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slice of hashed 64-bit numbers, of their top bits, and the 32 bits below."""
+    u, top = values.view(np.uint64), slices.bit_length() - 1
+    return (u >> np.uint64(64 - top)).astype(np.int64), (u >> np.uint64(32 - top)).astype(np.uint32)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = marks.value
-        for batch in batches:
-            keys = batch.column(1).flatten().to_numpy()
-            held = _marked(table, keys)
-            nodes = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[held]), pa.array(keys[held])], ["node", "key"])
 
-    out = cut(lines.select("node", "keys").mapInArrow(pick, "node long, key long").distinct())
-    marks.destroy()
-    return out
+def _slots(low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a number in its slice of width bits."""
+    mask = np.uint64(width - 1)
+    low = low.astype(np.uint64)
+    return ((low & mask).astype(np.int64), (((low * _P) >> np.uint64(32)) & mask).astype(np.int64))
+
+
+def _width(slices: int) -> int:
+    return max(MARKS // slices, SLICE_BITS)
+
+
+def _deal(slices: int):
+    """(node, signed) -> (slice, packed): for each key its 32 bits and 32 of the node; in slices of their own, for
+    each node its 32 bits and a number of the place, another for each place it is found at."""
 
+    def rows(kind: int, values: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+        at, low = _places(values, slices)
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        packed = ((low.astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64))[order]
+        counts = np.bincount(at, minlength=slices)
+        full = np.flatnonzero(counts)
+        ends = np.concatenate([[0], np.cumsum(counts[full])]).astype(np.int32) * np.int32(8)
+        data = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+        return pa.RecordBatch.from_arrays([pa.array(full + kind * slices, pa.int32()), data], ["slice", "packed"])
 
-def _sketches(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, sketch) of the given nodes, one row each."""
-    marks = lines.sparkSession.sparkContext.broadcast(_marks(nodes))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        chunk, size, held = 0, 0, []
+
+        def flush():
+            keys, owners, nodes = (np.concatenate([x[k] for x in held]) for k in range(3))
+            yield rows(0, keys, owners.view(np.uint64) & _EMPTY)
+            nodes, counts = np.unique(nodes, return_counts=True)
+            place = np.uint64(2 * (part << 11 | chunk))
+            known = part < 1 << 20 and chunk < 1 << 11  # else every line counts as repeated
+            yield rows(1, nodes, np.full(len(nodes), place if known else 0, np.uint64))
+            again = nodes[counts > 1] if known else nodes
+            yield rows(1, again, np.full(len(again), place + np.uint64(1) if known else 1, np.uint64))
+
+        for batch in batches:
+            nodes, (fresh, keys, _) = batch.column(0).to_numpy(), _read_signed(batch.column(1))
+            held.append((keys.ravel(), np.repeat(nodes[fresh], BANDS), nodes))
+            size += len(held[-1][0]) + len(nodes)
+            if size >= CHUNK:
+                yield from flush()
+                chunk, size, held = chunk + 1, 0, []
+        if held:
+            yield from flush()
+
+    return deal
+
+
+def _repeats(lines: DataFrame, slices: int) -> np.ndarray:
+    """Two bit tables: of the keys of several lines, and of the lines found more than once. No such key or line is
+    missed, but for lines equal in 32 bits of their hash that share a key with no other; few others are in a table. A
+    slice is settled in one task and its bits reach the driver once."""
+    width = _width(slices)
+
+    def settle(group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(group["packed"].to_pylist()), np.uint64).copy()
+        x.sort()
+        low = x >> np.uint64(32)
+        held = low[1:][(low[1:] == low[:-1]) & (x[1:] != x[:-1])]
+        bits = np.zeros(width, bool)
+        for at in _slots(held, width):
+            bits[at] = True
+        return pa.table({"slice": group["slice"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    dealt = lines.where("line >= 0").select("node", "signed").mapInArrow(_deal(slices), "slice int, packed binary")
+    table = np.zeros((2 * slices, width // 8), np.uint8)
+    for at, bits in zip(*dealt.groupBy("slice").applyInArrow(settle, "slice int, bits binary").toArrow().columns, strict=True):
+        table[at.as_py()] = np.frombuffer(bits.as_py(), np.uint8)
+    return table.reshape(2, -1)
+
+
+def _repeated(table: np.ndarray, values: np.ndarray, slices: int) -> np.ndarray:
+    """Which of the keys, or lines, may be in their table of _repeats()."""
+    at, low = _places(values, slices)
+    width = _width(slices)
+    held = np.ones(len(values), bool)
+    for slot in _slots(low, width):
+        slot += at * width
+        held &= (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    return held
+
+
+def _picked(given: DataFrame) -> DataFrame:
+    """The signed lines that may be in a class of several, with the keys that several lines share, and the sketch where
+    there are any; and those of line -1. Written; the signed lines themselves go."""
+    spark = given.sparkSession
+    slices = 1 << min(max((int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), 4), 12)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = marks.value
+        shared, again = table.value
         for batch in batches:
-            yield batch.filter(pa.array(_marked(table, batch.column(0).to_numpy())))
+            fresh, keys, sketches = _read_signed(batch.column(4))
+            held = _repeated(shared, keys.ravel(), slices).reshape(keys.shape)
+            n = np.zeros(len(fresh), np.int64)
+            n[fresh] = held.sum(axis=1)
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys[held]))
+            some = _lists(sketches[held.any(axis=1)], (n > 0).tolist())
+            kept = (n > 0) | _repeated(again, batch.column(3).to_numpy(), slices) | (batch.column(2).to_numpy() < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], own, some], [*batch.schema.names[:4], "keys", "sketch"]).filter(pa.array(kept))
+
+    def made() -> DataFrame:
+        nonlocal table
+        lines = cut(given.mapInArrow(_sign, _LINES))
+        table = spark.sparkContext.broadcast(_repeats(lines, slices))
+        return lines.mapInArrow(pick, _PICKED)
 
-    held = lines.where("size(sketch) > 0").select("node", "sketch").mapInArrow(pick, "node long, sketch array<long>")
-    out = cut(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
-    marks.destroy()
+    table = None
+    out = written(spark, made)
+    table.destroy()
     return out
 
 
@@ -287,9 +400,17 @@ def _verifier(texts: DataFrame, threshold: float):
     return verify
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """h sorted, each number once; changes h."""
+    h.sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def _line_shingles(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.unique(shingle_hashes(codes, min(SHINGLE, len(codes))))
+    return _distinct(shingle_hashes(codes, min(SHINGLE, len(codes))))
 
 
 def _same(threshold: float):
@@ -304,7 +425,9 @@ def _same(threshold: float):
 def _holds(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     if min(len(x), len(y)) < threshold * max(len(x), len(y)):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    all_ = np.concatenate((x, y))
+    all_.sort()
+    both = np.count_nonzero(all_[1:] == all_[:-1])
     return both >= threshold * (len(x) + len(y) - both) - 1e-9
 
 
@@ -314,16 +437,21 @@ def _close(threshold: float, width: int = 2048):
     def close(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         (x, i), (y, j) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (a, b))
         both = np.zeros((len(a), len(b)), np.float32)
-        known = np.intersect1d(x, y)
+        known = np.concatenate((_distinct(x.copy()), _distinct(y.copy())))
+        known.sort()
+        known = known[1:][known[1:] == known[:-1]]
+        found = []
+        for v, owner in ((x, i), (y, j)):
+            at = np.minimum(np.searchsorted(known, v), max(len(known) - 1, 0))
+            hit = known[at] == v if len(known) else np.zeros(len(v), bool)
+            order = np.argsort(at[hit], kind="stable")
+            found.append((at[hit][order], owner[hit][order]))
         for lo in range(0, len(known), width):
-            part = known[lo : lo + width]
             sides = []
-            for v, owner, n in ((x, i, len(a)), (y, j, len(b))):
-                inside = (v >= part[0]) & (v <= part[-1])
-                at = np.minimum(np.searchsorted(part, v[inside]), len(part) - 1)
-                hit = part[at] == v[inside]
-                side = np.zeros((n, len(part)), np.float32)
-                side[owner[inside][hit], at[hit]] = 1
+            for (at, owner), n in zip(found, (len(a), len(b)), strict=True):
+                own = slice(*np.searchsorted(at, [lo, lo + width]))
+                side = np.zeros((n, min(width, len(known) - lo)), np.float32)
+                side[owner[own], at[own] - lo] = 1
                 sides.append(side)
             both += sides[0] @ sides[1].T
         na, nb = np.bincount(i, minlength=len(a)), np.bincount(j, minlength=len(b))
@@ -337,20 +465,20 @@ def _given(docs: DataFrame) -> DataFrame:
 
 
 def line_classes(given: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(row, doc_id, text) -> written rows (row, doc_id, line, root), root being the same for the lines of a class; and
-    for each row of `given` one of line -1, whose root is the number of its lines. `given` is numbered once."""
+    """(row, doc_id, text) -> written rows (row, doc_id, line, root), root being the same for the lines of a class, of all
+    lines in classes of several (few others among them); and for each row of `given` one of line -1, whose root is the number of its lines. `given` is numbered once."""
 
     def classes() -> DataFrame:
-        lines = cut(given.mapInArrow(_sign, _LINES))
-        shared = cut(shared_buckets(_shared_bands(lines)))
-        used = cut(shared.select("node").distinct())
+        picked = _picked(given)
+        shared = shared_buckets(cut(picked.select("node", F.explode("keys").alias("key")).distinct()))
+        sketches = picked.where("size(keys) > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
         def fetch(nodes: DataFrame):
             texts = _needed(given, nodes)
             return _verifier(texts, threshold), texts
 
-        roots = linked(cut(shared.join(_sketches(lines, used), "node")), fetch, _line_shingles, _close(threshold), _same(threshold), MOST, char_bytes=8)
-        own, sums = (lines.where(x).select("row", "doc_id", "line", "node") for x in ("line >= 0", "line < 0"))
+        roots = linked(cut(shared.join(sketches, "node")), fetch, _line_shingles, _close(threshold), _same(threshold), MOST, char_bytes=8)
+        own, sums = (picked.where(x).select("row", "doc_id", "line", "node") for x in ("line >= 0", "line < 0"))
         classed = own.join(roots, "node", "left").select("row", "doc_id", "line", F.coalesce("root", "node").alias("root"))
         return classed.union(sums)
 

@@ -609,6 +609,32 @@ def test_line_blocks_equal_exact_similarity():
     assert (got == want).all()
 
 
+def test_op3_picks_all_repeated_lines_and_shared_keys(spark):
+    import collections
+    import random
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    unique = [" ".join(word() for _ in range(12)) for _ in range(400)]
+    near = [unique[k] + " end" for k in range(0, 60, 2)]
+    texts = ["\n".join(unique[k : k + 4]) for k in range(0, 400, 4)] + near + unique[100:140:2] + [unique[200] + "\n" + unique[200], "", None]
+    given = line_dedup._given(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7))
+    picked = rows(line_dedup._picked(given))
+    lines = [x for t in texts for x in (t or "").split("\n") if x]
+    assert sum(r["node"] for r in picked if r["line"] < 0) == len(lines) and sum(r["line"] < 0 for r in picked) == len(texts)
+    distinct = sorted(set(lines))
+    keys = collections.defaultdict(set)
+    for x, own in zip(distinct, line_dedup.band_keys(line_dedup.signatures(distinct)).tolist(), strict=True):
+        for key in own:
+            keys[key].add(line_dedup.line_hash(x))
+    want = {(node, key) for key, nodes in keys.items() if len(nodes) > 1 for node in nodes}
+    assert len(want) > 100 and want <= {(r["node"], key) for r in picked for key in r["keys"]}
+    assert all(len(r["sketch"]) == (4 if r["keys"] else 0) for r in picked)
+    counts, own = collections.Counter(map(line_dedup.line_hash, lines)), collections.Counter(r["node"] for r in picked if r["line"] >= 0)
+    assert all(own[node] == n for node, n in counts.items() if n > 1)
+    assert sum(node not in {x for x, _ in want} and counts[node] == 1 for node in own) < 10
+
+
 def test_marks_miss_no_number(spark):
     numbers = [0, -1, -(1 << 63), (1 << 63) - 1, *np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()]
     table = line_dedup._marks(spark.createDataFrame([(x,) for x in numbers], "node long"))

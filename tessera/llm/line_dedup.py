@@ -40,6 +40,9 @@ MOST = 28
 MARKS = 1 << 25
 SLICE_BITS = 1 << 16
 CHUNK = 1 << 20
+#: Bits of a line's hash that go with its keys. Of the pairs that share a key with no third line, one in 2 ** WHO seems
+#: one line and is not found. More bits leave fewer for the key, and more lines pass that share none.
+WHO = 36
 SEEN = 200_000
 PIECE = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFF)
@@ -230,15 +233,14 @@ def _marked(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def _places(values: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slice of hashed 64-bit numbers, of their top bits, and the 32 bits below."""
+    """The slice of hashed 64-bit numbers, of their top bits, and the 64 - WHO bits below."""
     u, top = values.view(np.uint64), slices.bit_length() - 1
-    return (u >> np.uint64(64 - top)).astype(np.int64), (u >> np.uint64(32 - top)).astype(np.uint32)
+    return (u >> np.uint64(64 - top)).astype(np.int64), (u >> np.uint64(WHO - top)) & np.uint64((1 << (64 - WHO)) - 1)
 
 
 def _slots(low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of a number in its slice of width bits."""
     mask = np.uint64(width - 1)
-    low = low.astype(np.uint64)
     return ((low & mask).astype(np.int64), (((low * _P) >> np.uint64(32)) & mask).astype(np.int64))
 
 
@@ -247,13 +249,13 @@ def _width(slices: int) -> int:
 
 
 def _deal(slices: int):
-    """(node, signed) -> (slice, packed): for each key its 32 bits and 32 of the node; in slices of their own, for
-    each node its 32 bits and a number of the place, another for each place it is found at."""
+    """(node, signed) -> (slice, packed): for each key its bits below the slice and WHO bits of the node; in slices of
+    their own, for each node its bits and a number of the place, another for each place it is found at."""
 
     def rows(kind: int, values: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
         at, low = _places(values, slices)
         order = np.argsort(at.astype(np.uint16), kind="stable")
-        packed = ((low.astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64))[order]
+        packed = ((low << np.uint64(WHO)) | who)[order]
         counts = np.bincount(at, minlength=slices)
         full = np.flatnonzero(counts)
         ends = np.concatenate([[0], np.cumsum(counts[full])]).astype(np.int32) * np.int32(8)
@@ -266,10 +268,10 @@ def _deal(slices: int):
 
         def flush():
             keys, owners, nodes = (np.concatenate([x[k] for x in held]) for k in range(3))
-            yield rows(0, keys, owners.view(np.uint64) & _EMPTY)
+            yield rows(0, keys, owners.view(np.uint64) & np.uint64((1 << WHO) - 1))
             nodes, counts = np.unique(nodes, return_counts=True)
-            place = np.uint64(2 * (part << 11 | chunk))
-            known = part < 1 << 20 and chunk < 1 << 11  # else every line counts as repeated
+            place = np.uint64(2 * (part << 18 | chunk))
+            known = part < 1 << WHO - 19 and chunk < 1 << 18  # else every line counts as repeated
             yield rows(1, nodes, np.full(len(nodes), place if known else 0, np.uint64))
             again = nodes[counts > 1] if known else nodes
             yield rows(1, again, np.full(len(again), place + np.uint64(1) if known else 1, np.uint64))
@@ -289,14 +291,14 @@ def _deal(slices: int):
 
 def _repeats(lines: DataFrame, slices: int) -> np.ndarray:
     """Two bit tables: of the keys of several lines, and of the lines found more than once. No such key or line is
-    missed, but for lines equal in 32 bits of their hash that share a key with no other; few others are in a table. A
+    missed, but for lines equal in WHO bits of their hash that share a key with no other; few others are in a table. A
     slice is settled in one task and its bits reach the driver once."""
     width = _width(slices)
 
     def settle(group: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(group["packed"].to_pylist()), np.uint64).copy()
         x.sort()
-        low = x >> np.uint64(32)
+        low = x >> np.uint64(WHO)
         held = low[1:][(low[1:] == low[:-1]) & (x[1:] != x[:-1])]
         bits = np.zeros(width, bool)
         for at in _slots(held, width):

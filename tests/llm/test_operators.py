@@ -635,6 +635,21 @@ def test_op3_picks_all_repeated_lines_and_shared_keys(spark):
     assert sum(node not in {x for x, _ in want} and counts[node] == 1 for node in own) < 10
 
 
+def test_op3_keys_of_lines_alike_in_half_their_hash_are_shared(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, (400, line_dedup.BANDS))
+    keys[200:300] = keys[:100]
+    nodes = rng.integers(-(1 << 63), (1 << 63) - 1, 400)
+    nodes[200:300] = nodes[:100] ^ (1 << 35)  # another line, the lower half of the hash alike
+    nodes[300:] = nodes[100:200]  # the same lines again, keys alike
+    keys[300:] = keys[100:200]
+    signed = [np.concatenate([k, np.zeros(4, np.int64)]).tobytes() for k in keys]
+    lines = spark.createDataFrame(list(zip(nodes.tolist(), signed, strict=True)), "node long, signed binary").selectExpr("0 AS line", "*").repartition(3)
+    shared, again = line_dedup._repeats(lines, 64)
+    assert line_dedup._repeated(shared, keys[:100].ravel(), 64).all() and line_dedup._repeated(shared, keys[100:200].ravel(), 64).sum() < 5
+    assert line_dedup._repeated(again, nodes[100:200], 64).all() and line_dedup._repeated(again, nodes[:100], 64).sum() < 5
+
+
 def test_marks_miss_no_number(spark):
     numbers = [0, -1, -(1 << 63), (1 << 63) - 1, *np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()]
     table = line_dedup._marks(spark.createDataFrame([(x,) for x in numbers], "node long"))

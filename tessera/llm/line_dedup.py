@@ -219,7 +219,7 @@ def _marks(numbers: DataFrame) -> np.ndarray:
     slots = numbers.selectExpr(f"explode(array({x} & {MARKS - 1}L, shiftrightunsigned({x}, 25) & {MARKS - 1}L)) AS s")
     words = slots.selectExpr("cast(s div 64 as int) AS w", "shiftleft(1L, cast(s % 64 as int)) AS b")
     table = np.zeros(MARKS // 64, np.uint64)
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    got = cut(words.groupBy("w").agg(F.bit_or("b").alias("b"))).toArrow()  # written, as in _repeats()
     table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return table
 
@@ -292,7 +292,8 @@ def _deal(slices: int):
 def _repeats(lines: DataFrame, slices: int) -> np.ndarray:
     """Two bit tables: of the keys of several lines, and of the lines found more than once. No such key or line is
     missed, but for lines equal in WHO bits of their hash that share a key with no other; few others are in a table. A
-    slice is settled in one task and its bits reach the driver once."""
+    slice is settled in one task and its bits reach the driver once. They are written first: toArrow() would leave the
+    shuffle of all keys on disk until the driver collects its garbage."""
     width = _width(slices)
 
     def settle(group: pa.Table) -> pa.Table:
@@ -307,7 +308,8 @@ def _repeats(lines: DataFrame, slices: int) -> np.ndarray:
 
     dealt = lines.where("line >= 0").select("node", "signed").mapInArrow(_deal(slices), "slice int, packed binary")
     table = np.zeros((2 * slices, width // 8), np.uint8)
-    for at, bits in zip(*dealt.groupBy("slice").applyInArrow(settle, "slice int, bits binary").toArrow().columns, strict=True):
+    settled = cut(dealt.groupBy("slice").applyInArrow(settle, "slice int, bits binary"))
+    for at, bits in zip(*settled.toArrow().columns, strict=True):
         table[at.as_py()] = np.frombuffer(bits.as_py(), np.uint8)
     return table.reshape(2, -1)
 

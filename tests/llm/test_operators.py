@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import (
+    common,
     decontaminate,
     html_extract,
     licenses,
@@ -650,6 +652,24 @@ def test_op3_keys_of_lines_alike_in_half_their_hash_are_shared(spark):
     assert line_dedup._repeated(again, nodes[100:200], 64).all() and line_dedup._repeated(again, nodes[:100], 64).sum() < 5
 
 
+def test_op3_leaves_no_shuffle_of_its_keys(spark):
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+        found = set()
+        while files.hasNext():
+            found.add(files.next().getName())
+        return {x for x in found if x.startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(k, f"line {k} of a text, one of its own\nand one of {k % 20}") for k in range(200)], "doc_id long, text string")
+    lines = common.cut(line_dedup._given(docs).mapInArrow(line_dedup._sign, line_dedup._LINES))
+    before = shuffled()
+    assert line_dedup._repeats(lines, 16).any() and line_dedup._marks(lines.select("node")).any()
+    until = time.monotonic() + 10  # files go in the background
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+
+
 def test_marks_miss_no_number(spark):
     numbers = [0, -1, -(1 << 63), (1 << 63) - 1, *np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()]
     table = line_dedup._marks(spark.createDataFrame([(x,) for x in numbers], "node long"))

@@ -18,9 +18,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from tessera.llm.common import cut, fresh_path, whole
 
 MAGIC = b"TSRX\x02\x00\x00\x00"
 BUCKET_KEYS = 4
-#: Documents encoded together.
-GROUP = 64
+#: Bytes of texts encoded together (a longer text alone).
+GROUP = 4 << 20
 END_ID = 2
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,19 +166,23 @@ class Store:
 
 
 class Encoder:
-    """The tokenizer, with the ids of pieces remembered.
-
-    White space separates what the tokenizer encodes (its normaliser turns it into blanks, its splitter drops them), so
-    pieces cut at a blank or line feed encode as they do in the whole text. A piece of letters and then ASCII marks is
-    split between the two by the splitter as well, so its letters are remembered on their own, whatever follows them;
-    but only where the tokenizer itself, asked about the last letter, cuts after it (some letters become a letter and a
-    mark that joins those behind). Other pieces are encoded whole.
-    What is not remembered yet is encoded together, blanks between, and told apart by the offsets. `remember=False`, for
-    tokenizers without these properties, encodes whole texts. Both memories are bounded and last for the worker."""
+    """The tokenizer, asked once for what repeats.
+
+    ASCII white space separates what the tokenizer encodes (its normaliser turns it into blanks, its splitter drops
+    them), so pieces cut there encode as they do in the whole text. A piece of letters and then ASCII marks is split
+    between the two by the splitter as well, so it is two parts, whatever pieces share them; but only where the tokenizer
+    itself, asked about the last letter, cuts after it (some letters become a letter and a mark that joins those behind).
+    Other pieces are one part. Of the texts of a call each distinct piece is cut once and each distinct part looked up
+    once; parts not remembered yet are encoded together, blanks between, and the texts' ids are laid out by index.
+    A part of letters or of marks is one word of the model as a rule, and ends with an id of its end-of-word suffix. As
+    no part is without such an id, those of a run tell its parts apart if they are as many; else offsets do, as they do
+    for other pieces. `remember=False`, for tokenizers without these properties, encodes whole texts. The memory is
+    bounded and lasts for the worker."""
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may join what follows
-    PIECES, CORES = 400_000, 600_000
-    _kept: dict[tuple, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+    #: Parts remembered, and their characters; parts encoded in a call of the tokenizer; ids laid out at once.
+    PARTS, LONG, RUN, LAID = 600_000, 40, 500, 1 << 20
+    _kept: dict[str, tuple] = {}
 
     def __init__(self, path: str, end_id: int, remember: bool) -> None:
         import os
@@ -184,12 +190,24 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in self._kept:
+            tokenizer = Tokenizer.from_file(path)
+            self._kept[path] = tokenizer, self._word_ends(tokenizer), {}, {2: {"": b""}, 4: {"": b""}}
+        self.tokenizer, self.word_ends, self.cuts, parts = self._kept[path]
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        self.end = end_id.to_bytes(self.width, "little")
-        self.remember = remember
-        self.pieces, self.cores = self._kept.setdefault((path, self.width), ({"": b""}, {"": b""}))
-        self.cuts: dict[str, bool] = {}
+        self.parts, self.kind = parts[self.width], np.dtype(f"<u{self.width}")
+        self.end, self.remember = end_id, remember
+
+    @staticmethod
+    def _word_ends(tokenizer) -> np.ndarray:
+        """Whether an id ends a word; none does if the model might leave a word without such an id."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        vocab, suffix = tokenizer.get_vocab(with_added_tokens=True), getattr(tokenizer.model, "end_of_word_suffix", None)
+        out = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix and all(c in vocab and c + suffix in vocab for c in ByteLevel.alphabet()):
+            out[[k for x, k in vocab.items() if x.endswith(suffix)]] = True
+        return out
 
     def _cut_after(self, letter: str) -> bool:
         """Whether the tokenizer splits between the letter, as it normalises it, and a mark behind it."""
@@ -200,53 +218,92 @@ class Encoder:
             got = self.cuts[letter] = [x[1] for x in parts] == [(0, 1 + len(normal)), (1 + len(normal), 2 + len(normal))]
         return got
 
-    def _encode(self, texts: list[str]) -> dict[str, bytes]:
-        """Distinct texts without blanks -> ids."""
-        if not texts:
-            return {}
-        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(e.ids, f"<u{self.width}").tobytes()
-        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        cuts = (np.searchsorted(at, ends) * self.width).tolist()
-        return {t: ids[a:b] for t, a, b in zip(texts, [0, *cuts], cuts, strict=False)}
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        out, late, odd, cores, marks = {}, [], [], self.cores, self.MARKS
-        for piece in new:
-            core = piece.rstrip(marks)
-            if core and not (core.isalpha() and (core[-1].isascii() or self._cut_after(core[-1]))):
-                odd.append(piece)
-                continue
-            tail = piece[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            a, b = cores.get(core), cores.get(tail)
-            if a is None or b is None:
-                late.append((piece, core, tail))
-            else:
-                out[piece] = a + b
-        got = self._encode(list({x for _, *pair in late for x in pair if x not in cores}))
-        for piece, core, tail in late:
-            out[piece] = (got[core] if core in got else cores[core]) + (got[tail] if tail in got else cores[tail])
-        if len(cores) + len(got) <= self.CORES:
-            cores.update(got)
-        out.update(self._encode(odd))
+    def _encode(self, texts: list[str], words: bool) -> Iterator[bytes]:
+        """The ids of each text; none has blanks. words: they are words of the model as a rule."""
+        for lo in range(0, len(texts), self.RUN):
+            own = texts[lo : lo + self.RUN]
+            if words:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.kind)
+                cuts = np.flatnonzero(self.word_ends[ids]) + 1
+            if not words or len(cuts) != len(own):
+                e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+                ids = np.array(e.ids, self.kind)
+                at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+                cuts = np.searchsorted(at, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1))
+            raw, cuts = ids.tobytes(), (cuts * self.width).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+
+    def _laid(self, ids: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """ids: those of spans of these sizes, one behind the other. The ids of the spans in an order."""
+        start, sizes = np.cumsum(size) - size, size[order]
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, self.kind)
+        lo = done = 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(ends, done + self.LAID, "right")))
+            n = sizes[lo:hi]
+            at = np.repeat(start[order[lo:hi]] - (ends[lo:hi] - n), n)
+            at += np.arange(done, int(ends[hi - 1]))
+            out[done : ends[hi - 1]] = ids[at]
+            lo, done = hi, int(ends[hi - 1])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct texts without blanks -> their ids, one behind the other, and the numbers of them."""
+        core = pc.ascii_rtrim(pieces, characters=self.MARKS)
+        ascii_word, letters, whole_size = (x.to_numpy(zero_copy_only=False) for x in (pc.ascii_is_alpha(core), pc.binary_length(core), pc.binary_length(pieces)))
+        ask = np.flatnonzero(~ascii_word & (letters > 0))
+        cut = (x.isalpha() and (x[-1].isascii() or self._cut_after(x[-1])) for x in _strings(core.take(pa.array(ask))))
+        odd = ask[~np.fromiter(cut, bool, len(ask))]
+        first = np.cumsum(whole_size, dtype=np.int64) - whole_size
+        at = np.empty(2 * len(pieces) + 1, np.int32)
+        at[:-1:2], at[-1] = first, whole_size.sum()
+        at[1::2] = first + letters
+        at[1 + 2 * odd] = first[odd] + whole_size[odd]
+        base = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset]
+        parts = pa.StringArray.from_buffers(2 * len(pieces), pa.py_buffer(at + base), pieces.buffers()[2] or pa.py_buffer(b""))
+        lower = np.zeros(2 * len(pieces), bool)
+        lower[::2] = ascii_word
+        parts = pc.if_else(pa.array(lower), pc.ascii_lower(parts), parts).dictionary_encode()
+        names, others = _strings(parts.dictionary), set(_strings(pieces.take(pa.array(odd))))
+        ids = list(map(self.parts.get, names))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        for words in (True, False):
+            own = [k for k in gaps if (names[k] not in others) == words]
+            for k, x in zip(own, self._encode([names[k] for k in own], words), strict=True):
+                ids[k] = x
+        kept = (k for k in gaps if len(names[k]) <= self.LONG)
+        self.parts.update((names[k], ids[k]) for k in islice(kept, max(0, self.PARTS - len(self.parts))))
+        size, order = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width, parts.indices.to_numpy()
+        return self._laid(np.frombuffer(b"".join(ids), self.kind), size, order), size[order].reshape(-1, 2).sum(axis=1)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with their end ids, and the number of each text's."""
+        if not len(texts):
+            return np.empty(0, self.kind), np.empty(0, np.int64)
         if not self.remember:
-            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes() + self.end for t in texts]
-        cut_up = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(self.pieces.get, c)) for c in cut_up]
-        gaps = [[k for k, x in enumerate(own) if x is None] if None in own else () for own in ids]
-        got = self._learn({c[k] for c, own in zip(cut_up, gaps, strict=True) for k in own})
-        for c, own, gap in zip(cut_up, ids, gaps, strict=True):
-            for k in gap:
-                own[k] = got[c[k]]
-        if len(self.pieces) + len(got) <= self.PIECES:
-            self.pieces.update(got)
-        return [b"".join(own) + self.end for own in ids]
+            got = [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, self.end], self.kind) for t in texts.to_pylist()]
+            return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        cut_up = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        n = pc.list_value_length(cut_up).to_numpy()
+        of = cut_up.flatten().dictionary_encode()
+        ids, size = self._pieces(of.dictionary)
+        ids, size = np.append(ids, self.kind.type(self.end)), np.append(size, 1)  # the end id as one more piece
+        last = np.cumsum(n + 1, dtype=np.int64) - 1
+        order, inner = np.full(int(last[-1]) + 1, len(size) - 1, np.int32), np.ones(int(last[-1]) + 1, bool)
+        inner[last] = False
+        order[inner] = of.indices.to_numpy()
+        return self._laid(ids, size, order), np.add.reduceat(size[order], last - n)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, n = self.ids(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        return [ids[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)]
+
+
+def _strings(texts: pa.StringArray) -> list[str]:
+    """to_pylist() for texts without blanks, which takes many times longer."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), " ")[0].as_py().split(" ") if len(texts) else []
 
 
 def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, remember: bool = True) -> DataFrame:
@@ -259,26 +316,29 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, reme
         from pyarrow import fs
 
         files, base = fs.FileSystem.from_uri(root)
-        encoder, keys, offsets, at = None, [], [0], 0  # the rows with null ids come first
+        encoder, keys, offsets, at = None, [], [np.zeros(1, np.int64)], 0  # the rows with null ids come first
         name, out = f"shard-{uuid.uuid4().hex}", None
         for batch in batches:
-            for lo in range(0, batch.num_rows, GROUP):
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+            lo = 0
+            while lo < batch.num_rows:
                 if out is None:
                     encoder = Encoder(tokenizer, end_id, remember)
                     files.create_dir(base, recursive=True)
                     out = files.open_output_stream(f"{base}/{name}.ids")
-                part = batch.slice(lo, GROUP)
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    out.write(ids)
-                    at += len(ids) // encoder.width
-                    offsets.append(at)
-                    if key is not None:
-                        keys.append(key)
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GROUP, "right")))
+                ids, n = encoder.ids(batch.column(1).slice(lo, hi - lo))
+                out.write(pa.py_buffer(ids))
+                offsets.append(at + np.cumsum(n))
+                at += len(ids)
+                lo = hi
+            keys.append(batch.column(0).drop_null().to_numpy())
         if out is not None:
             out.close()
             with files.open_output_stream(f"{base}/{name}.idx") as f:
-                f.write(index_bytes(np.array(keys, np.int64), np.array(offsets, np.int64), encoder.width))
-            yield pa.RecordBatch.from_pydict({"name": [name], "width": [encoder.width], "first_id": pa.array(keys[:1] or [None], pa.int64()), "last_id": pa.array(keys[-1:] or [None], pa.int64()), "n_docs": [len(offsets) - 1], "n_tokens": [at], "part": pa.array([_partition()], pa.int32())})
+                keys, offsets = np.concatenate(keys), np.concatenate(offsets)
+                f.write(index_bytes(keys, offsets, encoder.width))
+            yield pa.RecordBatch.from_pydict({"name": [name], "width": [encoder.width], "first_id": pa.array(keys[:1].tolist() or [None], pa.int64()), "last_id": pa.array(keys[-1:].tolist() or [None], pa.int64()), "n_docs": [len(offsets) - 1], "n_tokens": [at], "part": pa.array([_partition()], pa.int32())})
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.xxhash64(whole()).alias("_tie"))

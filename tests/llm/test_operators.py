@@ -278,6 +278,57 @@ def test_op5_ids_equal_whole_text_encoding():
             assert np.frombuffer(ids, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], ascii(text)
 
 
+def test_op5_words_are_encoded_once(monkeypatch):
+    """A word goes to the tokenizer once in a call, whatever is remembered, and not by way of offsets; long ones are not kept."""
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(tokenizer_path()), token_store.Encoder(tokenizer_path(), 2, True)
+    given = Counter()
+
+    class Counting:
+        normalizer, pre_tokenizer = own.tokenizer.normalizer, own.tokenizer.pre_tokenizer
+
+        def encode(self, text, **how):
+            given["by offsets"] += len(text.split())
+            return t.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            given["words"] += sum(len(x.split()) for x in texts)
+            return t.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(own, "tokenizer", Counting())
+    monkeypatch.setattr(own, "parts", {"": b""}, raising=False)
+    rng = np.random.default_rng(3)
+    words = sorted({"".join("aeionrstlé"[int(k)] for k in rng.integers(0, 10, 9)) for _ in range(3000)})
+    texts = [" ".join(words[int(k)] + ["", ",", ".", ")."][int(k) % 4] for k in rng.integers(0, len(words), 200)) for _ in range(300)]
+    texts[7:7] = ["", " \n\x0b\x0c\r\t ", "x" * 5000 + ".", "KADİ. don't <|endoftext|> 12,5\x0bVeli\x0cé"]
+    for most in (0, 500, 600_000):
+        monkeypatch.setattr(token_store.Encoder, "PARTS", most, raising=False)
+        given.clear()
+        got = own.encode(texts)
+        assert given["words"] <= len(words) + 10 and given["by offsets"] <= 510  # one run
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    given.clear()
+    assert own.encode(texts) == got and given["words"] == 1  # the long one
+    wide = token_store.Encoder(tokenizer_path(), 1 << 16, True)
+    assert [np.frombuffer(x, "<u4").tolist() for x in wide.encode(texts[:9])] == [[*t.encode(x, add_special_tokens=False).ids, 1 << 16] for x in texts[:9]]
+    whole = token_store.Encoder(tokenizer_path(), 2, False)
+    assert whole.encode(texts[:9]) == got[:9] and own.encode([]) == []
+
+
+def test_op5_groups(spark, monkeypatch):
+    """Shards are the same whatever texts are encoded together."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").toArrow()["text"].combine_chunks()
+    own = token_store.Encoder(tokenizer_path(), 2, True)
+    ids, n = own.ids(docs)
+    monkeypatch.setattr(token_store.Encoder, "LAID", 7)
+    each = [own.ids(docs.slice(k, 30)) for k in range(0, len(docs), 30)]
+    assert np.array_equal(np.concatenate([x for x, _ in each]), ids) and np.array_equal(np.concatenate([x for _, x in each]), n)
+    assert n.sum() == len(ids) and len(own.ids(pa.array([], pa.string()))[0]) == 0
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
     keys = np.unique(keys)
